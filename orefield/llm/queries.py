@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import licenses, mixing, sharding
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op8_sharding": sharding.op8_sharding,
+    "op10_licenses": licenses.op10_licenses,
 }
 ORACLE_SQL: dict[str, str] = {}
