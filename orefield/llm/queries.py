@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import licenses, mixing, sharding
+from . import licenses, mixing, secrets, sharding
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op4_secrets": secrets.op4_secrets,
     "op8_sharding": sharding.op8_sharding,
     "op10_licenses": licenses.op10_licenses,
 }
