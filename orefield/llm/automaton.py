@@ -224,7 +224,7 @@ def minimised(table: np.ndarray, accept: np.ndarray, cls: np.ndarray, classes: i
     return Automaton(cls, small.reshape(-1), ends, classes, dead if dead else -1)
 
 
-def lanes(auto: Automaton, data: np.ndarray, width: int = 1 << 14) -> np.ndarray:
+def lanes(auto: Automaton, data: np.ndarray, width: int = 1 << 15) -> np.ndarray:
     """The accept bits after each byte of data, as one run from the start state would give them.
 
     The bytes are cut into lanes that advance together, each from the start state. A lane whose left neighbour ended in another

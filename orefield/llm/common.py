@@ -60,3 +60,12 @@ def utf8(text: Column) -> Column:
 def null_last(name: Column) -> Column:
     """A key that sorts names by code point and null last, and that equi-joins null to null."""
     return F.coalesce(F.concat(F.lit("s"), name.cast("string")), F.lit("z"))
+
+
+def open_store(uri: str):
+    """The pyarrow file system of a folder and the folder's path there; works on executors for local, S3, GCS and HDFS folders."""
+    from pyarrow import fs
+
+    if uri.startswith("file:") and not uri.startswith("file://"):
+        uri = "file://" + uri[5:]
+    return fs.FileSystem.from_uri(uri)

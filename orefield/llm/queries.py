@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import licenses, mixing, secrets, sharding
+from . import licenses, media, mixing, secrets, sharding
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op4_secrets": secrets.op4_secrets,
+    "op6_media": media.op6_media,
     "op8_sharding": sharding.op8_sharding,
     "op10_licenses": licenses.op10_licenses,
 }
