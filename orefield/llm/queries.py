@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import licenses, media, mixing, secrets, sharding
+from . import licenses, media, mixing, secrets, sharding, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op4_secrets": secrets.op4_secrets,
+    "op5_warc": warc.op5_warc,
     "op6_media": media.op6_media,
     "op8_sharding": sharding.op8_sharding,
     "op10_licenses": licenses.op10_licenses,
