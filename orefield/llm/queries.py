@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import licenses, media, mixing, secrets, sharding, warc
+from . import licenses, media, mixing, quality, secrets, sharding, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op4_secrets": secrets.op4_secrets,
     "op5_warc": warc.op5_warc,
     "op6_media": media.op6_media,
+    "op7_quality": quality.op7_quality,
     "op8_sharding": sharding.op8_sharding,
     "op10_licenses": licenses.op10_licenses,
 }
