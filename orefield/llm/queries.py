@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import licenses, media, mixing, quality, secrets, sharding, warc
+from . import decontamination, licenses, media, mixing, quality, secrets, sharding, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op3_decontamination": decontamination.op3_decontamination,
     "op4_secrets": secrets.op4_secrets,
     "op5_warc": warc.op5_warc,
     "op6_media": media.op6_media,
