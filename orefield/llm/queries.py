@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontamination, licenses, media, mixing, quality, secrets, sharding, warc
+from . import decontamination, licenses, media, mixing, quality, secrets, sharding, substrings, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op2_substrings": substrings.op2_substrings,
     "op3_decontamination": decontamination.op3_decontamination,
     "op4_secrets": secrets.op4_secrets,
     "op5_warc": warc.op5_warc,
