@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, licenses, media, mixing, quality, secrets, sharding, substrings, warc
+from . import decontamination, licenses, media, mixing, neardups, quality, secrets, sharding, substrings, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_media": media.op6_media,
     "op7_quality": quality.op7_quality,
     "op8_sharding": sharding.op8_sharding,
+    "op9_neardups": neardups.op9_neardups,
     "op10_licenses": licenses.op10_licenses,
 }
 ORACLE_SQL: dict[str, str] = {}
