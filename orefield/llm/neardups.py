@@ -3,13 +3,13 @@
 A document's set: its distinct shingles (runs of `shingle` words, A-Z lower-cased; the whole sequence as one where there are fewer).
 Two documents are linked when 100 * shared >= `percent` * united. Equal sets collapse first, so copies cost nothing.
 
-Tensored banding: SIDE keys A_i and SIDE keys B_j are made of PART minhashes each, and every pair (A_i, B_j) is a table's key. So
-SIDE * SIDE tables need 2 * SIDE * PART minhashes instead of 2 * SIDE * SIDE * PART. Two sets of similarity p share no table with
-a chance of about 2 * (1 - p**PART)**SIDE: 7e-5 at 0.85, 2e-6 at 0.9; a component hangs on many links. Sets of five or fewer shingles
-link with equal sets only (5 of 6 is too few) and need no key.
+Tensored banding: `side` keys A_i and `side` keys B_j are made of PART minhashes each, and every pair (A_i, B_j) is a table's key.
+So side * side tables need 2 * side * PART minhashes instead of 2 * side * side * PART. Two sets of similarity p share no table
+with a chance of about 2 * (1 - p**PART)**side, which `side` holds to LOST at the threshold (7e-5 at 0.85, then 2e-6 at 0.9); a
+component hangs on many links. Sets so small that they can only link with equal sets need no key.
 
-Table entries carry four bits of each minhash. Pairs that agree in under MATCHING of these (five deviations below 0.85) are no
-candidates. Tables with few sets yield pairs, the same pair once in all; large ones yield lists, cut into
+Table entries carry four bits of each minhash. Pairs that agree in fewer of these than is likely at the threshold, by five
+deviations, are no candidates. Tables with few sets yield pairs, the same pair once in all; large ones yield lists, cut into
 pairs of blocks of BLOCK sets, in which only sets of different components so far are compared, so no group is expanded into its pairs.
 Every link is confirmed on the full sets, which a second pass over the documents makes for candidates alone (a bitmap of
 fixed size keeps most others out, the join the rest). Components grow from links by least labels and jumps, in rounds that are written out.
@@ -21,6 +21,7 @@ linked; an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,18 +33,31 @@ from .common import new_path, open_store, stage, table, unstage
 from .substrings import BASES, rolling, word_hash
 
 PERCENT = 85
-SIDE, PART = 8, 2
-HASHES = 2 * SIDE * PART
-MATCHING = 18
+PART, LOST = 2, 1e-4
 SMALL, BLOCK = 8, 1024
 ENTRIES_PER_TASK = 1 << 20
 BITMAP_BITS = 27
 SHINGLES_PER_CHUNK = 1 << 20
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-FACTORS = np.random.default_rng(20).integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-#: An entry of a table: its key, the set's id, four bits of each minhash.
-ENTRY = np.dtype([("key", "<u8"), ("sid", "<i8"), ("bits", "u1", HASHES // 2)])
+
+class Layout:
+    """The tables for a threshold in percent. entry: a table's key, the set's id, four bits of each minhash; least: the
+    shingles of the smallest set that can link with another."""
+
+    def __init__(self, percent: int) -> None:
+        if not 50 <= percent <= 100:
+            raise ValueError("percent is 50 to 100")
+        p = percent / 100
+        self.percent, self.side = percent, 2
+        while 2 * (1 - p**PART) ** self.side > LOST:
+            self.side += 1
+        self.hashes = 2 * self.side * PART
+        agree = p + (1 - p) / 16
+        self.matching = math.floor(self.hashes * agree - 5 * math.sqrt(self.hashes * agree * (1 - agree)))
+        self.least = math.ceil(100 / (100 - percent)) - 1 if percent < 100 else 1 << 62
+        self.entry = np.dtype([("key", "<u8"), ("sid", "<i8"), ("bits", "u1", self.hashes // 2)])
+        self.factors = np.random.default_rng(20).integers(1, 1 << 63, self.hashes, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -59,17 +73,17 @@ def shingles(text: str | None, size: int) -> np.ndarray:
     return np.unique(mixed(rolling(h, min(size, h.size), BASES[1]))) if h.size else h
 
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
+def signatures(sets: list[np.ndarray], layout: Layout) -> np.ndarray:
     """32 high bits of the minhashes of non-empty sets."""
-    out = np.empty((len(sets), HASHES), np.uint32)
+    out = np.empty((len(sets), layout.hashes), np.uint32)
     starts = np.concatenate([[0], np.cumsum([s.size for s in sets])[:-1]]).astype(np.int64)
     every = np.concatenate(sets)
-    for k, factor in enumerate(FACTORS):
+    for k, factor in enumerate(layout.factors):
         out[:, k] = np.minimum.reduceat(every * factor, starts) >> np.uint64(32)
     return out
 
 
-def described(docs: DataFrame, shingle: int) -> DataFrame:
+def described(docs: DataFrame, shingle: int, layout: Layout) -> DataFrame:
     """doc_id, sid, n_shingles, s1 and s2 (128 bits that name the set), sig (packed, null for empty sets)."""
     names = ["doc_id", "sid", "n_shingles", "s1", "s2", "sig"]
 
@@ -84,7 +98,7 @@ def described(docs: DataFrame, shingle: int) -> DataFrame:
                 part = batch.slice(first, len(sets))
                 some = [k for k, s in enumerate(sets) if s.size]
                 sig = [None] * len(sets)
-                for k, row in zip(some, signatures([sets[k] for k in some]) if some else (), strict=True):
+                for k, row in zip(some, signatures([sets[k] for k in some], layout) if some else (), strict=True):
                     sig[k] = row.tobytes()
                 sums = [(int(mixed(s).sum().view(np.int64)), int(mixed(s ^ M1).sum().view(np.int64))) if s.size else (None, None) for s in sets]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([s.size for s in sets], pa.int64()), pa.array([a for a, _ in sums], pa.int64()), pa.array([b for _, b in sums], pa.int64()), pa.array(sig, pa.binary())], names=names)
@@ -94,24 +108,24 @@ def described(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {kind}, sid long, n_shingles long, s1 long, s2 long, sig binary")
 
 
-def entries_of(sids: np.ndarray, sigs: np.ndarray) -> np.ndarray:
-    """Entries of all tables for these sets, SIDE * SIDE a set."""
-    half = SIDE * PART
+def entries_of(sids: np.ndarray, sigs: np.ndarray, layout: Layout) -> np.ndarray:
+    """Entries of all tables for these sets, side * side a set."""
+    half, tables = layout.side * PART, layout.side**2
     wide = sigs.astype(np.uint64)
 
     def keys(block: np.ndarray) -> np.ndarray:
-        out = np.zeros((block.shape[0], SIDE), np.uint64)
+        out = np.zeros((block.shape[0], layout.side), np.uint64)
         for p in range(PART):
             out = mixed(out * M2 + block[:, p::PART] + np.uint64(1))
         return out
 
     a, b = keys(wide[:, :half]), keys(wide[:, half:])
-    number = np.arange(SIDE * SIDE, dtype=np.uint64)
+    number = np.arange(tables, dtype=np.uint64)
     key = mixed((a[:, :, None] * M1 + b[:, None, :]).reshape(len(sids), -1) + number)
-    out = np.empty(key.size, ENTRY)
-    out["key"], out["sid"] = key.reshape(-1), np.repeat(sids, SIDE * SIDE)
+    out = np.empty(key.size, layout.entry)
+    out["key"], out["sid"] = key.reshape(-1), np.repeat(sids, tables)
     low = (sigs & 15).astype(np.uint8)
-    out["bits"] = np.repeat(low[:, 0::2] << 4 | low[:, 1::2], SIDE * SIDE, axis=0)
+    out["bits"] = np.repeat(low[:, 0::2] << 4 | low[:, 1::2], tables, axis=0)
     return out
 
 
@@ -124,18 +138,18 @@ def matches(bits: np.ndarray, one: np.ndarray) -> np.ndarray:
 CANDIDATE = ["a", "b", "list", "part"]
 
 
-def candidates(reps: DataFrame) -> DataFrame:
+def candidates(reps: DataFrame, layout: Layout) -> DataFrame:
     """Staged, distinct: pairs (a < b; list null) and members of lists (a; list, part)."""
     n = reps.count()
-    tasks = max(1, -(-n * SIDE * SIDE // ENTRIES_PER_TASK))
+    tasks = max(1, -(-n * layout.side**2 // ENTRIES_PER_TASK))
     buckets = 1 << (4 * tasks).bit_length()
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 8192):
                 batch = whole.slice(at, 8192)
-                sigs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, HASHES)
-                e = entries_of(batch.column(0).to_numpy(), sigs)
+                sigs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, layout.hashes)
+                e = entries_of(batch.column(0).to_numpy(), sigs, layout)
                 bucket = (e["key"] % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 e, bucket = e[order], bucket[order]
@@ -143,7 +157,7 @@ def candidates(reps: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[edges[:-1]], pa.int64()), pa.array([e[x:y].tobytes() for x, y in zip(edges, edges[1:], strict=False)], pa.binary())], names=["bucket", "entries"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.frombuffer(x, ENTRY) for batch in batches for x in batch.column(0).to_pylist()]
+        held = [np.frombuffer(x, layout.entry) for batch in batches for x in batch.column(0).to_pylist()]
         if not held:
             return
         e = np.concatenate(held)
@@ -159,7 +173,7 @@ def candidates(reps: DataFrame) -> DataFrame:
             for i in range(size if at.size else 0):
                 for j in range(i + 1, size):
                     x, y = e[at + i], e[at + j]
-                    ok = matches(x["bits"], y["bits"]) >= MATCHING
+                    ok = matches(x["bits"], y["bits"]) >= layout.matching
                     pairs.append(np.column_stack([x["sid"][ok], y["sid"][ok]]))
         found = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
         rows = [(found[:, 0], found[:, 1], None, None)]
@@ -169,7 +183,7 @@ def candidates(reps: DataFrame) -> DataFrame:
             if (name := own["sid"].tobytes()) in done:
                 continue
             done.add(name)
-            for group in alike(own["bits"]) if size <= 2 * BLOCK else [np.arange(size)]:
+            for group in alike(own["bits"], layout.matching) if size <= 2 * BLOCK else [np.arange(size)]:
                 sids = own["sid"][group]
                 if sids.size < 2:
                     continue
@@ -189,13 +203,13 @@ def candidates(reps: DataFrame) -> DataFrame:
     return stage(met.distinct(), "neardup-candidates")
 
 
-def alike(bits: np.ndarray) -> Iterator[np.ndarray]:
+def alike(bits: np.ndarray, matching: int) -> Iterator[np.ndarray]:
     """Groups of sets connected by pairs that may be similar."""
     open_ = np.arange(len(bits))
     while open_.size:
         group, todo, open_ = [open_[0]], [open_[0]], open_[1:]
         while todo and open_.size:
-            near = matches(bits[open_], bits[todo.pop()]) >= MATCHING
+            near = matches(bits[open_], bits[todo.pop()]) >= matching
             group.extend(open_[near])
             todo.extend(open_[near])
             open_ = open_[~near]
@@ -318,13 +332,12 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 def deduplicated(docs: DataFrame, shingle: int = 3, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, sid (of equal doc_id and text), n_shingles, component_id, kept."""
-    if percent < 84:
-        raise ValueError("the tables are laid out for 84 percent or more")  # below, sets of five shingles can link
+    layout = Layout(percent)
     docs = docs.select("doc_id", "text").withColumn("sid", F.xxhash64("doc_id", F.xxhash64("text")))
-    rows = stage(described(docs.select("doc_id", "text", "sid"), shingle), "neardup-docs")
+    rows = stage(described(docs.select("doc_id", "text", "sid"), shingle, layout), "neardup-docs")
     sets = rows.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("least"), F.min(F.struct("sid", "sig")).alias("rep"), F.first("n_shingles").alias("n"))
     reps = stage(sets.select("s1", "s2", "least", "rep.sid", "rep.sig", "n"), "neardup-reps")
-    found = candidates(reps.where("n > 5"))
+    found = candidates(reps.where(F.col("n") >= layout.least), layout)
     wanted = found.select(F.explode(F.array_compact(F.array("a", "b"))).alias("sid")).distinct()
     confirmed = links(found, sets_of(docs, wanted, shingle), percent)
     labels = components(confirmed)
