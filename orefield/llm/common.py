@@ -69,3 +69,17 @@ def open_store(uri: str):
     if uri.startswith("file:") and not uri.startswith("file://"):
         uri = "file://" + uri[5:]
     return fs.FileSystem.from_uri(uri)
+
+
+def maybe_in(rows: DataFrame, keys: DataFrame, name: str, bits: int = 27) -> DataFrame:
+    """rows with the column `_maybe`: true wherever the long `name` stands in keys, and for few other rows.
+
+    The broadcast is a bitmap of 2**bits bits (16 MB) at most, whatever the number of keys; a fuller bitmap is only less choosy.
+    """
+    at = F.pmod(F.xxhash64(name), F.lit(1 << bits)) + 1  # Spark numbers bits from 1
+    held = keys.groupBy(F.bitmap_bucket_number(at).alias("_k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("_bits"))
+    spot = F.bitmap_bit_position(at)
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(spot / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    bit = F.call_function("shiftright", byte, F.pmod(spot, F.lit(8)).cast("int")).bitwiseAND(F.lit(1))
+    both = rows.join(F.broadcast(held), F.bitmap_bucket_number(at) == F.col("_k"), "left")
+    return both.withColumn("_maybe", F.coalesce(bit == 1, F.lit(False))).drop("_k", "_bits")

@@ -145,7 +145,7 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     empty = (F.col("size") == 0) & ((F.col("target") > 0) | (F.col("source_size") == 0))
     plan = plan.withColumn("starts", F.when(empty, F.array(F.lit(0).cast("long"))).otherwise(F.slice("starts", 1, F.col("copies"))))
     read = plan.select("row", "order", "all_size", F.explode("starts").alias("position"))
-    return range_sorted(stage(read, "mix-read")).select("row.*")
+    return range_sorted(read).select("row.*")
 
 
 #: The query's curriculum: shapes go round with the sources' order, their integrals follow the weights.

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, open_store, stage, table, unstage
+from .common import maybe_in, new_path, open_store, stage, table, unstage
 from .substrings import BASES, rolling, word_hash
 
 PERCENT = 85
@@ -331,22 +331,39 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, shingle: int = 3, percent: int = PERCENT) -> DataFrame:
-    """One row per document: doc_id, sid (of equal doc_id and text), n_shingles, component_id, kept."""
+    """One row per document: doc_id, sid (of equal doc_id and text), n_shingles, component_id, kept (doc_id is the
+    component's), first (true for one sid of the component)."""
     layout = Layout(percent)
     docs = docs.select("doc_id", "text").withColumn("sid", F.xxhash64("doc_id", F.xxhash64("text")))
     rows = stage(described(docs.select("doc_id", "text", "sid"), shingle, layout), "neardup-docs")
-    sets = rows.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("least"), F.min(F.struct("sid", "sig")).alias("rep"), F.first("n_shingles").alias("n"))
+    sets = rows.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sid")).alias("least"), F.min(F.struct("sid", "sig")).alias("rep"), F.first("n_shingles").alias("n"))
     reps = stage(sets.select("s1", "s2", "least", "rep.sid", "rep.sig", "n"), "neardup-reps")
     found = candidates(reps.where(F.col("n") >= layout.least), layout)
     wanted = found.select(F.explode(F.array_compact(F.array("a", "b"))).alias("sid")).distinct()
     confirmed = links(found, sets_of(docs, wanted, shingle), percent)
     labels = components(confirmed)
     named = reps.select("s1", "s2", "least", "sid").join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    ids = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    of_set = stage(named.join(ids, "label").select("s1", "s2", "component_id"), "neardup-components")
+    ids = named.groupBy("label").agg(F.min("least").alias("first"))
+    of_set = stage(named.join(ids, "label").select("s1", "s2", F.col("first.doc_id").alias("component_id"), F.col("first.sid").alias("first_sid")), "neardup-components")
     out = rows.select("doc_id", "sid", "n_shingles", "s1", "s2").join(of_set, ["s1", "s2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "sid", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    first = F.when(F.col("n_shingles") > 0, F.col("sid") == F.col("first_sid")).otherwise(True)
+    return out.select("doc_id", "sid", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), first.alias("first"))
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, one of each component, its first by (doc_id, a hash of the text); rows without a set all stay.
+
+    Only rows that go, or that the table repeats, meet in an exchange; a bitmap lets the others pass where they lie.
+    """
+    members = stage(deduplicated(docs, shingle, percent).select("sid", "n_shingles", "first"), "neardup-members")
+    fate = members.where("n_shingles > 0").groupBy("sid").agg(F.first("first").alias("_first"), F.count("*").alias("_n"))
+    fate = stage(fate.where("not _first or _n > 1").withColumnRenamed("sid", "_sid"), "neardup-fate")
+    rows = maybe_in(docs.withColumn("_sid", F.xxhash64("doc_id", F.xxhash64("text"))), fate, "_sid")
+    met = rows.where("_maybe").join(fate, "_sid", "left")
+    single = met.where("_first is null").select(*docs.columns)
+    repeated = met.where("_first").dropDuplicates(["_sid"]).select(*docs.columns)
+    return rows.where("not _maybe").select(*docs.columns).unionByName(single).unionByName(repeated)
 
 
 def op9_neardups(spark: SparkSession, sf_dir: str) -> DataFrame:
