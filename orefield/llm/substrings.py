@@ -4,7 +4,7 @@ Pass 1 sketches. A window is estimated by its anchor, the least hash among its r
 so a window stands at most as often as its anchor. Each shard counts the anchors it picks in DEPTH rows of count-min cells, saturating at
 two; the shards' cells are merged by slices, which leaves one bit a cell: counted twice or more. The sketch grows with the
 corpus up to MOST_BITS; a fuller one lets more windows through and loses none.
-Pass 2 counts exactly. Windows whose anchor may repeat are grouped by a 128-bit hash. A shard first settles what it holds
+Pass 2 counts exactly. Windows whose anchor may repeat are grouped by 96 bits of hash. A shard first settles what it holds
 twice, and sends one entry of such a window and one of each other candidate to the window's bucket; so no window, however common, has more than
 one entry a shard. Buckets send back the places of repeated windows. Documents without candidates are done in pass 2; only the
 others meet their places again, by row id, and are cut.
@@ -43,7 +43,7 @@ _hashes: dict[bytes, int] = {}
 def word_hash(word: bytes) -> int:
     found = _hashes.get(word)
     if found is None:
-        if len(_hashes) > 400_000:
+        if len(_hashes) > 200_000:
             _hashes.clear()
         found = _hashes[word] = xxhash.xxh3_64_intdigest(word)
     return found
@@ -101,7 +101,7 @@ class Shard:
         return self.grams[sliding(padded, reach + 1, np.maximum) == self.grams]
 
     def windows(self, at: np.ndarray) -> np.ndarray:
-        """128-bit hashes of the windows at these places, as pairs."""
+        """Hashes of the windows at these places, as pairs of 64 bits."""
         return np.column_stack([rolling(self.h, self.width, b)[at] for b in BASES]) if at.size else np.zeros((0, 2), np.uint64)
 
 
@@ -169,6 +169,17 @@ def sketched(docs: DataFrame, bits: int, width: int, gram: int) -> str:
 
 
 NONE = -1
+#: A window in a bucket: 96 bits of its hash, and its place (row id and word).
+ENTRY = np.dtype([("a", "<u8"), ("b", "<u4"), ("rid", "<i8"), ("at", "<u4")])
+PLACE = np.dtype([("rid", "<i8"), ("at", "<u4")])
+
+
+def packed_by(key: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """The distinct keys, how many rows each has, and those rows packed."""
+    order = np.argsort(key, kind="stable")
+    rows, key = rows[order], key[order]
+    edges = np.append(np.flatnonzero(np.diff(key, prepend=key[0] - 1)), key.size) if key.size else np.zeros(1, np.int64)
+    return key[edges[:-1]], np.diff(edges), [rows[x:y].tobytes() for x, y in zip(edges, edges[1:], strict=False)]
 
 
 def looked_up(docs: DataFrame, sketch: str, bits: int, buckets: int, width: int, gram: int) -> DataFrame:
@@ -191,33 +202,30 @@ def looked_up(docs: DataFrame, sketch: str, bits: int, buckets: int, width: int,
                 maybe[at] = seen[row * row_bytes + (c >> 3)] >> (c & 7).astype(np.uint8) & 1
             at = np.flatnonzero(maybe)
             hashes = shard.windows(at)
-            order = np.lexsort((hashes[:, 1], hashes[:, 0]))
-            at, hashes = at[order], hashes[order]
+            e = np.empty(at.size, ENTRY)
+            e["a"], e["b"], e["at"] = hashes[:, 0], hashes[:, 1] >> np.uint64(32), at
+            e = e[np.lexsort((e["b"], e["a"]))]
             first = np.ones(at.size, bool)
-            first[1:] = (hashes[1:] != hashes[:-1]).any(axis=1)
+            first[1:] = (e["a"][1:] != e["a"][:-1]) | (e["b"][1:] != e["b"][:-1])
             alone = first & np.append(first[1:], True)[: at.size]
-            doc = np.searchsorted(shard.starts, at, "right") - 1
+            doc = np.searchsorted(shard.starts, e["at"], "right") - 1
             known = [b""] * len(held)
-            twice = np.sort(at[~alone])
+            twice = np.sort(e["at"][~alone])
             owner = np.searchsorted(shard.starts, twice, "right") - 1
             for d in np.unique(owner):
-                known[d] = (twice[owner == d] - shard.starts[d]).astype(np.int32).tobytes()
+                known[d] = (twice[owner == d] - shard.starts[d]).astype(np.uint32).tobytes()
             open_docs = np.zeros(len(held), bool)
             open_docs[doc] = True
-            places = np.where(alone, rid + doc, NONE)
-            entries = np.column_stack([hashes.view(np.int64), places, at - shard.starts[doc]])[first]
-            bucket = (hashes[first, 0] % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            entries, bucket = entries[order], bucket[order]
-            edges = np.concatenate([np.flatnonzero(np.diff(bucket, prepend=-1)), [bucket.size]])
-            packed = [entries[a:b].tobytes() for a, b in zip(edges, edges[1:], strict=False)]
+            e["rid"], e["at"] = np.where(alone, rid + doc, NONE), e["at"] - shard.starts[doc]
+            e = e[first]
+            bucket, sizes, packed = packed_by((e["a"] % np.uint64(buckets)).astype(np.int64), e)
             none, m = [None] * len(held), len(packed)
             body = batch.column(1)
             columns = [
                 pa.array([rid + k for k in range(len(held))] + [None] * m, pa.int64()), pa.concat_arrays([batch.column(0), pa.nulls(m, batch.column(0).type)]),
                 pa.array(shard.sizes.tolist() + [None] * m, pa.int64()), pa.array([None if o else hashlib.sha256(b" ".join(w)).hexdigest() for o, w in zip(open_docs, held, strict=True)] + [None] * m, pa.string()),
                 pa.array([x.as_py() if o else None for o, x in zip(open_docs, body, strict=True)] + [None] * m, pa.string()), pa.array(known + [None] * m, pa.binary()),
-                pa.array(none + bucket[edges[:-1]].tolist(), pa.int64()), pa.array(none + np.diff(edges).tolist(), pa.int64()), pa.array(none + packed, pa.binary()),
+                pa.array(none + bucket.tolist(), pa.int64()), pa.array(none + sizes.tolist(), pa.int64()), pa.array(none + packed, pa.binary()),
             ]
             yield pa.RecordBatch.from_arrays(columns, names=names)
             rid += len(held)
@@ -226,28 +234,35 @@ def looked_up(docs: DataFrame, sketch: str, bits: int, buckets: int, width: int,
 
 
 def repeated(rows: DataFrame) -> DataFrame:
-    """rid, places (packed) of the windows that stand elsewhere too; rows: bucket and entries."""
-    tasks = max(1, -(-(rows.agg(F.sum("n")).first()[0] or 0) // PLACES_PER_TASK))
+    """rid, places (packed) of the windows that stand elsewhere too, one row a document; rows: bucket and entries.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.frombuffer(x, np.int64).reshape(-1, 4) for batch in batches for x in batch.column(0).to_pylist()]
-        if not held:
-            return
-        e = np.concatenate(held)
-        held.clear()
-        e = e[np.lexsort((e[:, 1], e[:, 0]))]
-        new = np.ones(len(e), bool)
-        new[1:] = (e[1:, :2] != e[:-1, :2]).any(axis=1)
+    Buckets deal their places out by row id in packs, so what moves follows the places, not documents times buckets.
+    """
+    tasks = int(max(1, -(-(rows.agg(F.sum("n")).first()[0] or 0) // PLACES_PER_TASK)))
+
+    def joined(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> np.ndarray:
+        return np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for batch in batches for x in batch.column(0).to_pylist())])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = joined(batches, ENTRY)
+        e = e[np.lexsort((e["b"], e["a"]))]
+        new = np.ones(e.size, bool)
+        new[1:] = (e["a"][1:] != e["a"][:-1]) | (e["b"][1:] != e["b"][:-1])
         group = np.cumsum(new) - 1
-        more = (np.bincount(group) > 1) | (np.bincount(group, e[:, 2] == NONE) > 0)
-        e = e[more[group] & (e[:, 2] != NONE), 2:]
-        e = e[np.lexsort((e[:, 1], e[:, 0]))]
-        edges = np.concatenate([np.flatnonzero(np.diff(e[:, 0], prepend=-2)), [len(e)]])
-        for at in range(0, len(edges) - 1, 4096):
-            cut = edges[at : at + 4097]
-            yield pa.RecordBatch.from_arrays([pa.array(e[cut[:-1], 0], pa.int64()), pa.array([e[a:b, 1].astype(np.int32).tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary())], names=["rid", "places"])
+        more = (np.bincount(group) > 1) | (np.bincount(group, e["rid"] == NONE) > 0)
+        e = e[more[group] & (e["rid"] != NONE)]
+        places = np.empty(e.size, PLACE)
+        places["rid"], places["at"] = e["rid"], e["at"]
+        part, _, packed = packed_by((places["rid"].astype(np.uint64) * MIX[0] >> np.uint64(32)).astype(np.int64) % tasks, places)
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(packed, pa.binary())], names=["part", "places"])
+
+    def regroup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rids, _, packed = packed_by((p := joined(batches, PLACE))["rid"], np.ascontiguousarray(p["at"]))
+        for at in range(0, len(packed), 4096):
+            yield pa.RecordBatch.from_arrays([pa.array(rids[at : at + 4096], pa.int64()), pa.array(packed[at : at + 4096], pa.binary())], names=["rid", "places"])
 
-    return rows.repartition(int(tasks), "bucket").select("entries").mapInArrow(run, "rid long, places binary")
+    met = rows.repartition(tasks, "bucket").select("entries").mapInArrow(meet, "part long, places binary")
+    return met.repartition(tasks, "part").select("places").mapInArrow(regroup, "rid long, places binary")
 
 
 def removed(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, bits: int | None = None) -> DataFrame:
@@ -260,7 +275,7 @@ def removed(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, bits: int | N
         bits = min(MOST_BITS, max(LEAST_BITS, int(size * CELLS_PER_BYTE).bit_length()))
     buckets = 1 << max(6, (size // BUCKET_BYTES).bit_length())
     rows = looked_up(docs, sketched(docs, bits, width, gram), bits, buckets, width, gram)
-    places = repeated(rows.where("bucket is not null").select("bucket", "n", "entries")).groupBy("rid").agg(F.collect_list("places").alias("places"))
+    places = repeated(rows.where("bucket is not null").select("bucket", "n", "entries"))
     todo = rows.where("bucket is null and text is not null").select("rid", "doc_id", "n_words", "text", "known").join(places, "rid", "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,7 +283,7 @@ def removed(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, bits: int | N
             n, sha, kept_text = [], [], []
             for text, known, more in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
                 words = text.encode().split()
-                at = np.concatenate([np.frombuffer(x, np.int32) for x in (known, *(more or []))])
+                at = np.frombuffer(known + (more or b""), np.uint32).astype(np.int64)
                 marks = np.zeros(len(words) + 1, np.int64)
                 np.add.at(marks, at, 1)
                 np.add.at(marks, at + width, -1)
