@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import compress, kernels
-from ..operators.constraints import admm_weight
+from ..operators.constraints import Cluster, admm_weight
 from ..operators.linalg import Operator, lines_operator, lsqr, stack_operators
 from ..operators.wavelet import Wavelet, transform
 
@@ -38,6 +38,9 @@ class Problem:
     bounds: np.ndarray | None = None
     z: np.ndarray | None = None
     u: np.ndarray | None = None
+    local_damping: np.ndarray | None = None
+    local_gradient: np.ndarray | None = None
+    bound_weight: np.ndarray | None = None
     costs: list[float] = field(default_factory=list)
 
 
@@ -57,6 +60,10 @@ class Settings:
     rho_multiplier: float = 1.0
     rho_most: float = 1e10
     stop_file: str | None = None
+    keep: tuple[bool, bool] = (False, False)
+    clusters: tuple[Cluster, ...] = ()
+    cluster_weights: tuple[float, float] = (0.0, 0.0)
+    cluster_log: bool = True
 
 
 def problem_of(spark: SparkSession, name: str, obs: DataFrame, cells: DataFrame, measured: np.ndarray, column_weight: np.ndarray, settings: Settings, rate: float = 1.0, field_: tuple[float, float, float] | None = None, intensity: float = 50000.0, **more) -> Problem:
@@ -152,6 +159,31 @@ def cross_gradient(a: np.ndarray, b: np.ndarray, settings: Settings) -> tuple[np
     return cross(ga, gb), Operator(3 * n, 2 * n, apply, transposed)
 
 
+def mixture(clusters: tuple[Cluster, ...], x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Density and derivatives, as the relational form has them."""
+    f, fx, fy = np.zeros_like(x), np.zeros_like(x), np.zeros_like(x)
+    for c in clusters:
+        a, b, e = c.sigma1**2, c.sigma2**2, c.sigma12**2
+        det, dx, dy = a * b - e * e, x - c.mu1, y - c.mu2
+        arg = -(b * dx * dx - 2 * e * dx * dy + a * dy * dy) / (2 * det)
+        g = c.weight * np.where(arg < -100, math.exp(-100), np.exp(np.maximum(arg, -100)) / (2 * math.pi * math.sqrt(det)))
+        f, fx, fy = f + g, fx - g * (b * dx - e * dy) / det, fy - g * (a * dy - e * dx) / det
+    return f, fx, fy
+
+
+def clustering(x: np.ndarray, y: np.ndarray, settings: Settings) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each problem the diagonal (before column weights) and the right-hand side."""
+    f, fx, fy = mixture(settings.clusters, x, y)
+    centres = np.array([[c.mu1, c.mu2] for c in settings.clusters])
+    top = max(0.0, float(mixture(settings.clusters, centres[:, 0], centres[:, 1])[0].max()))
+    if settings.cluster_log:
+        safe = np.where(f > 0, f, 1)
+        gap, slopes = np.where(f > 0, math.log(top) - np.log(safe), 0), [np.where(f != 0, -s / safe, 0) for s in (fx, fy)]
+    else:
+        gap, slopes = f - top, [fx, fy]
+    return [(w * s, -w * gap) for w, s in zip(settings.cluster_weights, slopes, strict=True)]
+
+
 def projected(x: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     lo, hi = bounds[..., 0], bounds[..., 1]
     ends = np.stack([lo, hi], axis=1).reshape(-1, x.size)
@@ -182,22 +214,31 @@ def step(problems: list[Problem], settings: Settings) -> dict[str, float]:
             d = np.full(n, p.alpha * p.weight)
             if settings.power != 2:
                 d = d * np.where(diff != 0, np.abs(np.where(diff != 0, diff, 1)) ** (settings.power / 2 - 1), 1)
+            if p.local_damping is not None:
+                d = d * p.local_damping
             add(placed(diagonal(d), at * n, columns), -d * diff, f"damping_{p.name}")
         if p.beta:
             grad = differences(settings, np.ones(n)).apply(p.value)
-            add(placed(scaled_rows(differences(settings, p.column_weight), np.full(3 * n, p.weight * p.beta)), at * n, columns), -p.weight * p.beta * grad, f"gradient_{p.name}")
+            rows = np.full(3 * n, p.weight * p.beta) if p.local_gradient is None else p.weight * p.beta * p.local_gradient
+            add(placed(scaled_rows(differences(settings, p.column_weight), rows), at * n, columns), -rows * grad, f"gradient_{p.name}")
     for at, p in enumerate(problems):
         if p.bounds is not None:
             p.u = np.zeros(n) if p.u is None else p.u
             p.z = projected(p.value + p.u, p.bounds)
             p.u = p.u + p.value - p.z
             diff = unscaled(p.value - (p.z - p.u), p.column_weight)
-            add(placed(diagonal(np.full(n, p.rho * p.weight)), at * n, columns), -p.rho * p.weight * diff, f"admm_{p.name}")
+            d = np.full(n, p.rho * p.weight) if p.bound_weight is None else p.rho * p.weight * p.bound_weight
+            add(placed(diagonal(d), at * n, columns), -d * diff, f"admm_{p.name}")
     if settings.cross_weight and len(problems) == 2:
         tau, derivative = cross_gradient(problems[0].value, problems[1].value, settings)
-        w = np.concatenate([p.column_weight for p in problems])
+        w = np.concatenate([p.column_weight * (not k) for p, k in zip(problems, settings.keep, strict=True)])
         scaled = Operator(derivative.rows, columns, lambda x: settings.cross_weight * derivative.apply(w * x), lambda u: settings.cross_weight * w * derivative.transposed(u))
         add(scaled, -settings.cross_weight * tau, "cross_gradient")
+    if settings.clusters and len(problems) == 2:
+        blocks = clustering(problems[0].value, problems[1].value, settings)
+        for at, (p, (v, b)) in enumerate(zip(problems, blocks, strict=True)):
+            if settings.cluster_weights[at]:
+                add(placed(diagonal(v * p.column_weight), at * n, columns), b, f"clustering_{p.name}")
     got = lsqr(stack_operators(parts), np.concatenate(rhs), settings.minor, settings.least_r, settings.gamma, settings.target_rms, data_rows)
     for at, p in enumerate(problems):
         p.value = p.value + got.x[at * n : (at + 1) * n] * p.column_weight
