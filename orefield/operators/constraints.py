@@ -67,12 +67,13 @@ def admm_weight(rho: float, cost: float, threshold: float, multiplier: float, mo
 # cross-gradient
 
 
-def cross_gradient(cells: DataFrame, lengths: tuple[int, int, int], central: bool = False, keep: tuple[bool, bool] = (False, False)) -> DataFrame:
+def cross_gradient(cells: DataFrame, lengths: tuple[int, int, int], central: bool = False, keep: tuple[bool, bool] = (False, False), field: int = 0) -> DataFrame:
     """cells (boxes, m1, m2) to cell_id, tau_x..tau_z, and d: entries (row axis, col_id, problem, v) of the derivatives.
 
     Cells on a first and a last face have none; on a last face differences go backward; central differences go forward on a
     first face. Each difference has a small stencil, and tau = grad m1 x grad m2 is linear in either, so an entry is the other
-    gradient's part times the stencil's weight.
+    gradient's part times the stencil's weight. field 1 or 2: the columns f_x, f_y, f_z stand for that model's gradient, which
+    then depends on no model.
     """
     names = list(zip("xyz", "ijk", lengths, strict=True))
     left = F.lit(False)
@@ -87,14 +88,14 @@ def cross_gradient(cells: DataFrame, lengths: tuple[int, int, int], central: boo
             g = F.lit(0.0)
             for s in schemes:
                 g = F.when(F.col("kind") == s.value, gradient(m, a, s, n)).otherwise(g)
-            rows = rows.withColumn(f"{m}_{a}", g)
+            rows = rows.withColumn(f"{m}_{a}", F.when(F.col("kind") != "none", F.col(f"f_{a}")).otherwise(0.0) if m == f"m{field}" else g)
     tau = {a: F.col(f"m1_{p}") * F.col(f"m2_{q}") - F.col(f"m1_{q}") * F.col(f"m2_{p}") for a, (p, q) in zip("xyz", ("yz", "zx", "xy"), strict=True)}
     stride = {"x": 1, "y": lengths[0], "z": lengths[0] * lengths[1]}
     found = []
     for a, (p, q) in zip("xyz", ("yz", "zx", "xy"), strict=True):
         # tau_a = m1_p * m2_q - m1_q * m2_p: the derivative by an m1 on the p stencil is weight * m2_q, and so on
         for problem, along, factor in ((1, p, F.col(f"m2_{q}")), (1, q, -F.col(f"m2_{p}")), (2, q, F.col(f"m1_{p}")), (2, p, -F.col(f"m1_{q}"))):
-            if keep[problem - 1]:
+            if keep[problem - 1] or problem == field:
                 continue
             h = size(along)
             ahead = F.when(F.col("kind") == "forward", 1 / h).when(F.col("kind") == "central", 0.5 / h).otherwise(0.0)
@@ -102,7 +103,15 @@ def cross_gradient(cells: DataFrame, lengths: tuple[int, int, int], central: boo
             for shift, weight in ((1, ahead), (-1, behind), (0, -(ahead + behind))):
                 found.append(F.struct(F.lit(a).alias("axis"), (F.col("cell_id") + shift * stride[along]).alias("col_id"), F.lit(problem).alias("problem"), (factor * weight).alias("v")))
     out = rows.withColumns({f"tau_{a}": t for a, t in tau.items()})
-    return out.select("cell_id", "kind", "tau_x", "tau_y", "tau_z", F.array(*found).alias("d"))
+    length = lambda m: F.sqrt(sum(F.col(f"{m}_{a}") * F.col(f"{m}_{a}") for a in "xyz"))
+    entries_ = F.array(*found) if found else F.array().cast("array<struct<axis:string,col_id:bigint,problem:int,v:double>>")
+    return out.select("cell_id", "kind", "tau_x", "tau_y", "tau_z", length("m1").alias("size1"), length("m2").alias("size2"), entries_.alias("d"))
+
+
+def normalised_cross_gradient(tau: DataFrame) -> DataFrame:
+    """tau over both gradients' sizes, between -1 and 1 a part; 0 where a gradient vanishes."""
+    both = F.col("size1") * F.col("size2")
+    return tau.select("cell_id", *(F.when(both != 0, F.col(f"tau_{a}") / both).otherwise(0.0).alias(f"tau_{a}") for a in "xyz"))
 
 
 def cross_gradient_entries(tau: DataFrame, weight: float) -> DataFrame:

@@ -509,6 +509,15 @@ def sparse_multiply_add(spark: SparkSession, d: str) -> DataFrame:
     return linalg.accumulate(u_of(a).withColumnRenamed("u", "y"), linalg.multiply(a, x_of(a)), "row_id").select("row_id", r(F.col("y")).alias("y"))
 
 
+@query("forward_from_kernel", GZ_ORACLE)
+def forward_from_kernel(spark: SparkSession, d: str) -> DataFrame:
+    """Data as kernel times model: columns carry their weights, so the model is taken over them."""
+    w = column_weights(spark, d)
+    a = kernel_pairs(spark, d).join(w, "cell_id").select(F.col("obs_id").alias("row_id"), F.col("cell_id").alias("col_id"), (F.col("v") * F.col("column_weight")).alias("v"))
+    x = S.model(spark, d).join(w, "cell_id").select(F.col("cell_id").alias("col_id"), geo.unscaled(F.col("density"), F.col("column_weight")).alias("x"))
+    return linalg.multiply(a, x).select(F.col("row_id").alias("obs_id"), r(F.col("y") / 1e7).alias("gz"))
+
+
 @query("column_norms", sql("sparse", "", f"SELECT col_id, {q('sqrt(sum(v * v))')} AS norm FROM sparse GROUP BY 1"))
 def column_norms(spark: SparkSession, d: str) -> DataFrame:
     return linalg.column_norms(S.sparse(spark, d)).select("col_id", r(F.col("norm")).alias("norm"))
@@ -641,6 +650,17 @@ for _central, _name in ((False, "cross_gradient"), (True, "cross_gradient_centra
 query("cross_gradient_cost", sql("cell model", tau_sql(False), "SELECT " + ", ".join(f"{q(f'sum(tau_{a} * tau_{a})', 8)} AS cost_{a}" for a in "xyz") + f", {q('sum(sqrt(tau_x * tau_x + tau_y * tau_y + tau_z * tau_z))')} AS size FROM tau"))(
     lambda spark, d: constraints.cross_gradient(two_models(spark, d), dims(spark, d)).agg(*(r(F.sum(F.col(f"tau_{a}") * F.col(f"tau_{a}")), 8).alias(f"cost_{a}") for a in "xyz"), r(F.sum(F.sqrt(sum(F.col(f"tau_{a}") * F.col(f"tau_{a}") for a in "xyz")))).alias("size")))
 
+query("cross_gradient_normalised", sql("cell model", tau_sql(False) + ", sz AS (SELECT *, sqrt(m1x * m1x + m1y * m1y + m1z * m1z) * sqrt(m2x * m2x + m2y * m2y + m2z * m2z) AS size FROM tau)", "SELECT cell_id, " + ", ".join(f"{q(f'CASE WHEN size <> 0 THEN tau_{a} / size ELSE 0 END', 7)} AS tau_{a}" for a in "xyz") + " FROM sz"))(
+    lambda spark, d: constraints.normalised_cross_gradient(constraints.cross_gradient(two_models(spark, d), dims(spark, d))).select("cell_id", *(r(F.col(f"tau_{a}"), 7).alias(f"tau_{a}") for a in "xyz")))
+
+
+@query("cross_gradient_vector_field", sql("cell model", tau_sql(False) + ", vf AS (SELECT t.*, CASE WHEN kind <> 'none' THEN density / 1000 ELSE 0 END AS fx, CASE WHEN kind <> 'none' THEN density / 2000 ELSE 0 END AS fy, CASE WHEN kind <> 'none' THEN -density / 1000 ELSE 0 END AS fz FROM tau t JOIN model USING (cell_id))", f"SELECT cell_id, {q('fy * m2z - fz * m2y', 8)} AS tau_x, {q('fz * m2x - fx * m2z', 8)} AS tau_y, {q('fx * m2y - fy * m2x', 8)} AS tau_z FROM vf"))
+def cross_gradient_vector_field(spark: SparkSession, d: str) -> DataFrame:
+    v = F.col("m1") / 100
+    rows = two_models(spark, d).withColumns({"f_x": v, "f_y": v / 2, "f_z": -v})
+    return constraints.cross_gradient(rows, dims(spark, d), field=1).select("cell_id", *(r(F.col(f"tau_{a}"), 8).alias(f"tau_{a}") for a in "xyz"))
+
+
 # for one axis and the first model: d tau_x = m2z * (difference along y) - m2y * (difference along z)
 _ey, _ez = "(CASE kind WHEN 'backward' THEN -1 ELSE 1 END) / abs(y2 - y1)", "(CASE kind WHEN 'backward' THEN -1 ELSE 1 END) / abs(z2 - z1)"
 CROSS_X = ", xe AS (SELECT cell_id, cell_id + CASE kind WHEN 'backward' THEN -10 ELSE 10 END AS col_id, m2z * " + _ey + " AS v FROM tau WHERE kind <> 'none' UNION ALL SELECT cell_id, cell_id + CASE kind WHEN 'backward' THEN -100 ELSE 100 END, -m2y * " + _ez + " FROM tau WHERE kind <> 'none' UNION ALL SELECT cell_id, cell_id, -(m2z * " + _ey + " - m2y * " + _ez + ") FROM tau WHERE kind <> 'none')"
@@ -689,6 +709,15 @@ def clustering_normal(spark: SparkSession, d: str) -> DataFrame:
     return got.select("cell_id", r(F.col("v1") * 1e3, 8).alias("v1"), r(F.col("v2") * 1e3, 8).alias("v2"), r(F.col("b1") * 1e3, 8).alias("b1"))
 
 
+_one = " + ".join(f"{c.weight!r}::DOUBLE * (CASE WHEN -(m1 - {c.mu1!r}::DOUBLE) * (m1 - {c.mu1!r}::DOUBLE) / (2 * {c.sigma1**2!r}::DOUBLE) < -100 THEN exp(-100) ELSE exp(-(m1 - {c.mu1!r}::DOUBLE) * (m1 - {c.mu1!r}::DOUBLE) / (2 * {c.sigma1**2!r}::DOUBLE)) / sqrt(2 * pi() * {c.sigma1**2!r}::DOUBLE) END)" for c in CLUSTERS)
+
+
+@query("mixture_one_property", sql("model", "mm AS (SELECT cell_id, density AS m1 FROM model)", f"SELECT cell_id, {q(f'({_one}) * 1e3', 8)} AS density FROM mm"))
+def mixture_one_property(spark: SparkSession, d: str) -> DataFrame:
+    f = constraints.mixture(CLUSTERS, F.col("m1"), F.col("m2"), (True, False))[0]
+    return mixture_rows(spark, d).select("cell_id", r(f * 1e3, 8).alias("density"))
+
+
 @query("mixture_top", sql("model", MIX, f"SELECT {q('max(top) * 1e3', 9)} AS top, {q('sum(f) * 1e3')} AS total FROM mx"))
 def mixture_top(spark: SparkSession, d: str) -> DataFrame:
     got = constraints.clustering(mixture_rows(spark, d), CLUSTERS, (1.0, 1.0))
