@@ -24,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from .common import new_path, open_store, table
+from .common import lean, new_path, open_store, table
 from .fmindex import FMIndex
 
 WIDTH = 10
-SHARD_WORDS = 4 << 20
+SHARD_WORDS = 1 << 19
 BLOCK_BYTES = 8 << 20
 #: Bytes of a word stay, A-Z become lower case, all others become spaces.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -165,7 +165,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame
         return pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, t) for c, (_, t, _) in zip(columns, NEW, strict=True))], names=[*kept, *(n for n, _, _ in NEW)])
 
     new = StructType.fromDDL(", ".join(f"{name} {kind}" for name, _, kind in NEW))
-    return docs.select(*kept).mapInArrow(run, StructType([*docs.select(*kept).schema.fields, *new.fields]))
+    return docs.select(*kept).mapInArrow(lean(run), StructType([*docs.select(*kept).schema.fields, *new.fields]))
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

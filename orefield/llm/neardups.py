@@ -29,15 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import maybe_in, new_path, open_store, stage, table, unstage
+from .common import lean, maybe_in, new_path, open_store, stage, table, unstage
 from .substrings import BASES, rolling, word_hash
 
 PERCENT = 85
 PART, LOST = 2, 1e-4
 SMALL, BLOCK = 8, 1024
-ENTRIES_PER_TASK = 1 << 20
+ENTRIES_PER_TASK = 1 << 19
 BITMAP_BITS = 27
-SHINGLES_PER_CHUNK = 1 << 20
+SHINGLES_PER_CHUNK = 1 << 19
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -105,7 +105,7 @@ def described(docs: DataFrame, shingle: int, layout: Layout) -> DataFrame:
                 first += len(sets)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, sid long, n_shingles long, s1 long, s2 long, sig binary")
+    return docs.mapInArrow(lean(run), f"doc_id {kind}, sid long, n_shingles long, s1 long, s2 long, sig binary")
 
 
 def entries_of(sids: np.ndarray, sigs: np.ndarray, layout: Layout) -> np.ndarray:
@@ -146,8 +146,8 @@ def candidates(reps: DataFrame, layout: Layout) -> DataFrame:
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 8192):
-                batch = whole.slice(at, 8192)
+            for at in range(0, whole.num_rows, 2048):
+                batch = whole.slice(at, 2048)
                 sigs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, layout.hashes)
                 e = entries_of(batch.column(0).to_numpy(), sigs, layout)
                 bucket = (e["key"] % np.uint64(buckets)).astype(np.int64)
@@ -198,8 +198,8 @@ def candidates(reps: DataFrame, layout: Layout) -> DataFrame:
         for row in rows:
             yield pa.RecordBatch.from_arrays([full(c, len(row[0])) for c in row], names=CANDIDATE)
 
-    entries = reps.select("sid", "sig").mapInArrow(deal, "bucket long, entries binary")
-    met = entries.repartition(int(tasks), "bucket").select("entries").mapInArrow(meet, ", ".join(f"{c} long" for c in CANDIDATE))
+    entries = reps.select("sid", "sig").mapInArrow(lean(deal), "bucket long, entries binary")
+    met = entries.repartition(int(tasks), "bucket").select("entries").mapInArrow(lean(meet), ", ".join(f"{c} long" for c in CANDIDATE))
     return stage(met.distinct(), "neardup-candidates")
 
 
@@ -241,7 +241,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
                 rows = batch.take(pa.array(some[at : at + 512]))
                 yield pa.RecordBatch.from_arrays([rows.column(1), pa.array([shingles(t, shingle).tobytes() for t in rows.column(0).to_pylist()], pa.binary())], names=["sid", "body"])
 
-    made = docs.select("text", "sid", spot.alias("spot")).mapInArrow(run, "sid long, body binary")
+    made = docs.select("text", "sid", spot.alias("spot")).mapInArrow(lean(run), "sid long, body binary")
     # rows of one document (equal doc_id and text) make one set
     return stage(made.join(wanted, "sid", "left_semi").dropDuplicates(["sid"]), "neardup-sets")
 
@@ -303,9 +303,9 @@ def links(found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield done()
 
     left, right = (sets.select(F.col("sid").alias(c), F.col("body").alias(f"body_{c}")) for c in "ab")
-    pairs = found.where("list is null").select("a", "b").join(left, "a").join(right, "b").select("a", "b", "body_a", "body_b").mapInArrow(check, "a long, b long")
+    pairs = found.where("list is null").select("a", "b").join(left, "a").join(right, "b").select("a", "b", "body_a", "body_b").mapInArrow(lean(check), "a long, b long")
     lists = found.where("list is not null").select("list", "part", "a").join(left, "a").select("list", "part", "a", "body_a")
-    lists = lists.repartition("list", "part").sortWithinPartitions("list", "part").mapInArrow(connect, "a long, b long")
+    lists = lists.repartition("list", "part").sortWithinPartitions("list", "part").mapInArrow(lean(connect), "a long, b long")
     return stage(pairs.unionByName(lists), "neardup-links")
 
 

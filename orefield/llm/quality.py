@@ -25,15 +25,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import lean, table
 
 BUCKETS, FACTORS, BINS = 1 << 16, 8, 16
 MOST_LABELLED = 8000
 SYMBOLS = b"#$%&*@^~<>{}[]\\_=+"
 N_STATS = 16
 #: Features scored together; bounds the memory of a batch.
-CHUNK = 400_000
-BATCH_ROWS = 2000
+CHUNK = 150_000
+BATCH_ROWS = 500
 
 _bucket: dict[str, int] = {}
 
@@ -41,7 +41,7 @@ _bucket: dict[str, int] = {}
 def bucket_of(word: str) -> int:
     found = _bucket.get(word)
     if found is None:
-        if len(_bucket) > 500_000:
+        if len(_bucket) > 100_000:
             _bucket.clear()
         found = _bucket[word] = zlib.crc32(word.encode("utf-8", "surrogatepass")) % BUCKETS
     return found
@@ -150,7 +150,7 @@ def learned(docs: DataFrame, labels: DataFrame, label: str = "quality", most: in
 
     # `rows` follows `most`, whatever the size of labels, so its broadcast is bounded
     known = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").select("text", "y", "doc_id")
-    got = known.sortWithinPartitions("doc_id", F.xxhash64("text")).select("text", "y").mapInArrow(run, "words array<int>, stats array<double>, y int").toArrow()
+    got = known.sortWithinPartitions("doc_id", F.xxhash64("text")).select("text", "y").mapInArrow(lean(run), "words array<int>, stats array<double>, y int").toArrow()
     words = [np.sort(np.array(x, np.int64)) for x in got["words"].to_pylist()]
     stats = np.array(got["stats"].to_pylist(), np.float64).reshape(len(words), N_STATS)
     y = np.array(got["y"].to_pylist(), np.float64)
@@ -175,7 +175,7 @@ def scored(docs: DataFrame, machine: Machine, name: str = "score") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64())], names=[*kept, name])
 
     schema = docs.select(*kept).schema.add(name, "double")
-    return docs.select(*kept).mapInArrow(run, schema)
+    return docs.select(*kept).mapInArrow(lean(run), schema)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
