@@ -359,11 +359,11 @@ def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFra
     members = stage(deduplicated(docs, shingle, percent).select("sid", "n_shingles", "first"), "neardup-members")
     fate = members.where("n_shingles > 0").groupBy("sid").agg(F.first("first").alias("_first"), F.count("*").alias("_n"))
     fate = stage(fate.where("not _first or _n > 1").withColumnRenamed("sid", "_sid"), "neardup-fate")
-    rows = maybe_in(docs.withColumn("_sid", F.xxhash64("doc_id", F.xxhash64("text"))), fate, "_sid")
+    rows = maybe_in(docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("doc_id", F.xxhash64("text")).alias("_sid")), fate, "_sid")
     met = rows.where("_maybe").join(fate, "_sid", "left")
-    single = met.where("_first is null").select(*docs.columns)
-    repeated = met.where("_first").dropDuplicates(["_sid"]).select(*docs.columns)
-    return rows.where("not _maybe").select(*docs.columns).unionByName(single).unionByName(repeated)
+    single = met.where("_first is null").select("row.*")
+    repeated = met.where("_first").dropDuplicates(["_sid"]).select("row.*")
+    return rows.where("not _maybe").select("row.*").unionByName(single).unionByName(repeated)
 
 
 def op9_neardups(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -394,6 +394,7 @@ def test_blocks_and_components(spark, monkeypatch):
 
 def test_one_of_each(spark):
     kept = neardups.one_of_each(documents(spark)).collect()
+    assert all(r._maybe and r["size"] == 7 and r.score == 0.5 for r in kept)
     ids = Counter(r.doc_id for r in kept)
     assert ids[7] == 1 and ids[8] == ids[9] == 0 and ids[0] == ids[1] == ids[2] == 1 and ids[None] == 2
     assert sorted(r.text for r in kept if r.doc_id == 12) == ["same id, other text", "same row"]

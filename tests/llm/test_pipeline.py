@@ -38,7 +38,9 @@ def test_run_gives_the_last_stage(spark, data):
 
 
 def test_stages_of_odd_cases(spark, data):
-    docs = documents(spark)
+    docs = documents(spark).withColumns({"n_words": F.lit(1), "contaminated": F.lit("no"), "position": F.lit(2)})
+    columns = docs.columns
     for _, function in corpus_pipeline.STAGES:
         docs = stage(function(spark, docs, data), "test-odd")
-    assert docs.count() > 0
+    assert docs.count() > 0 and docs.columns == [*(c for c in columns if c != "size"), "size", "shard", "slot"]
+    assert all(r.n_words == 1 and r.contaminated == "no" and r.position == 2 and r._maybe for r in docs.collect())
