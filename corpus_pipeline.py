@@ -11,14 +11,22 @@ size.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from orefield.llm import decontamination, mixing, neardups, quality, sharding
 from orefield.llm.common import stage, table
 
 
+def renamed(docs: DataFrame) -> tuple[DataFrame, list]:
+    """docs with names that no stage adds, and the columns that give the old names back."""
+    new = {c: c if c in ("doc_id", "text") else f"column_{k}" for k, c in enumerate(docs.columns)}
+    return docs.select(*(F.col(f"`{c}`").alias(n) for c, n in new.items())), [F.col(n).alias(c) for c, n in new.items()]
+
+
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     machine = quality.learned(docs, table(spark, sf_dir, "labels"))
-    return quality.scored(docs, machine, "_score").where("_score >= 0.5").select(*docs.columns)
+    rows, names = renamed(docs)
+    return quality.scored(rows, machine, "score").where("score >= 0.5").select(*names)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +34,8 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontamination.scan(docs, table(spark, sf_dir, "benchmark")).where("not contaminated").select(*docs.columns)
+    rows, names = renamed(docs)
+    return decontamination.scan(rows, table(spark, sf_dir, "benchmark")).where("not contaminated").select(*names)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
