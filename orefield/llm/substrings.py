@@ -25,14 +25,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, open_store, stage, table
+from .common import lean, new_path, open_store, stage, table
 
 WIDTH, GRAM = 35, 18
-SHARD_WORDS = 1 << 20
+SHARD_WORDS = 1 << 19
 #: Cells of a sketch row: a power of two over CELLS_PER_BYTE times the text's bytes (about 8 an anchor), up to 2**MOST_BITS.
 DEPTH, CELLS_PER_BYTE, LEAST_BITS, MOST_BITS, SLICE_BITS = 2, 0.14, 20, 29, 20
 BUCKET_BYTES = 2 << 20
-PLACES_PER_TASK = 1 << 20
+PLACES_PER_TASK = 1 << 19
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -156,7 +156,7 @@ def sketched(docs: DataFrame, bits: int, width: int, gram: int) -> str:
         if now >= 0:
             yield done()
 
-    merged = stage(docs.select("text").mapInArrow(count, "part long, cells binary").repartition("part").sortWithinPartitions("part").mapInArrow(merge, "part long, bits binary"), "sketch")
+    merged = stage(docs.select("text").mapInArrow(lean(count), "part long, cells binary").repartition("part").sortWithinPartitions("part").mapInArrow(lean(merge), "part long, bits binary"), "sketch")
     path = new_path(docs.sparkSession, "sketch-bits")
     fs, name = open_store(path)
     with fs.open_output_stream(name) as out:
@@ -174,12 +174,29 @@ ENTRY = np.dtype([("a", "<u8"), ("b", "<u4"), ("rid", "<i8"), ("at", "<u4")])
 PLACE = np.dtype([("rid", "<i8"), ("at", "<u4")])
 
 
-def packed_by(key: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+def in_columns(rows: np.ndarray) -> bytes:
+    """Structured rows, one field after another: row ids and places in order then compress well."""
+    return b"".join(rows[f].tobytes() for f in rows.dtype.names)
+
+
+def from_columns(packs: list[bytes], kind: np.dtype) -> np.ndarray:
+    sizes = [len(p) // kind.itemsize for p in packs]
+    out, at = np.empty(sum(sizes), kind), 0
+    for pack, n in zip(packs, sizes, strict=True):
+        done = 0
+        for f in kind.names:
+            out[f][at : at + n] = np.frombuffer(pack, kind[f], n, done)
+            done += n * kind[f].itemsize
+        at += n
+    return out
+
+
+def packed_by(key: np.ndarray, rows: np.ndarray, pack=in_columns) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """The distinct keys, how many rows each has, and those rows packed."""
     order = np.argsort(key, kind="stable")
     rows, key = rows[order], key[order]
     edges = np.append(np.flatnonzero(np.diff(key, prepend=key[0] - 1)), key.size) if key.size else np.zeros(1, np.int64)
-    return key[edges[:-1]], np.diff(edges), [rows[x:y].tobytes() for x, y in zip(edges, edges[1:], strict=False)]
+    return key[edges[:-1]], np.diff(edges), [pack(rows[x:y]) for x, y in zip(edges, edges[1:], strict=False)]
 
 
 def looked_up(docs: DataFrame, sketch: str, bits: int, buckets: int, width: int, gram: int) -> DataFrame:
@@ -218,6 +235,7 @@ def looked_up(docs: DataFrame, sketch: str, bits: int, buckets: int, width: int,
             open_docs[doc] = True
             e["rid"], e["at"] = np.where(alone, rid + doc, NONE), e["at"] - shard.starts[doc]
             e = e[first]
+            e = e[np.lexsort((e["at"], e["rid"]))]
             bucket, sizes, packed = packed_by((e["a"] % np.uint64(buckets)).astype(np.int64), e)
             none, m = [None] * len(held), len(packed)
             body = batch.column(1)
@@ -230,7 +248,7 @@ def looked_up(docs: DataFrame, sketch: str, bits: int, buckets: int, width: int,
             yield pa.RecordBatch.from_arrays(columns, names=names)
             rid += len(held)
 
-    return stage(docs.select("doc_id", "text").mapInArrow(run, f"rid long, doc_id {kind.simpleString()}, n_words long, kept_sha256 string, text string, known binary, bucket long, n long, entries binary"), "windows")
+    return stage(docs.select("doc_id", "text").mapInArrow(lean(run), f"rid long, doc_id {kind.simpleString()}, n_words long, kept_sha256 string, text string, known binary, bucket long, n long, entries binary"), "windows")
 
 
 def repeated(rows: DataFrame) -> DataFrame:
@@ -241,7 +259,7 @@ def repeated(rows: DataFrame) -> DataFrame:
     tasks = int(max(1, -(-(rows.agg(F.sum("n")).first()[0] or 0) // PLACES_PER_TASK)))
 
     def joined(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> np.ndarray:
-        return np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for batch in batches for x in batch.column(0).to_pylist())])
+        return from_columns([x for batch in batches for x in batch.column(0).to_pylist()], kind)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = joined(batches, ENTRY)
@@ -253,16 +271,17 @@ def repeated(rows: DataFrame) -> DataFrame:
         e = e[more[group] & (e["rid"] != NONE)]
         places = np.empty(e.size, PLACE)
         places["rid"], places["at"] = e["rid"], e["at"]
+        places = places[np.lexsort((places["at"], places["rid"]))]
         part, _, packed = packed_by((places["rid"].astype(np.uint64) * MIX[0] >> np.uint64(32)).astype(np.int64) % tasks, places)
         yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(packed, pa.binary())], names=["part", "places"])
 
     def regroup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rids, _, packed = packed_by((p := joined(batches, PLACE))["rid"], np.ascontiguousarray(p["at"]))
+        rids, _, packed = packed_by((p := joined(batches, PLACE))["rid"], np.ascontiguousarray(p["at"]), np.ndarray.tobytes)
         for at in range(0, len(packed), 4096):
             yield pa.RecordBatch.from_arrays([pa.array(rids[at : at + 4096], pa.int64()), pa.array(packed[at : at + 4096], pa.binary())], names=["rid", "places"])
 
-    met = rows.repartition(tasks, "bucket").select("entries").mapInArrow(meet, "part long, places binary")
-    return met.repartition(tasks, "part").select("places").mapInArrow(regroup, "rid long, places binary")
+    met = rows.repartition(tasks, "bucket").select("entries").mapInArrow(lean(meet), "part long, places binary")
+    return met.repartition(tasks, "part").select("places").mapInArrow(lean(regroup), "rid long, places binary")
 
 
 def removed(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, bits: int | None = None) -> DataFrame:
@@ -295,7 +314,7 @@ def removed(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, bits: int | N
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(kept_text, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    cuts = todo.select("doc_id", "n_words", "text", "known", "places").mapInArrow(cut, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    cuts = todo.select("doc_id", "n_words", "text", "known", "places").mapInArrow(lean(cut), f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, kept_text string")
     done = rows.where("bucket is null and text is null").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256", F.lit(None).cast("string").alias("kept_text"))
     return done.unionByName(cuts)
 
