@@ -407,6 +407,21 @@ query("wavelet_d4", wavelet_sql(wav.Wavelet.D4))(wavelet_query(wav.Wavelet.D4))
 query("wavelet_d4_inverse", wavelet_sql(wav.Wavelet.D4, True))(wavelet_query(wav.Wavelet.D4, True))
 
 
+def wavelet_grid_query(kind: wav.Wavelet, inverse: bool = False) -> Query:
+    """All cells along all three axes; the length of z is the table's, so there is no fixed matrix to give as SQL."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        got = wav.transform_rows(cells_with_model(spark, d), "density", dims(spark, d), kind, inverse)
+        return got.select("i", "j", "k", r(F.col("density")).alias("v"))
+
+    return run
+
+
+for _kind in (wav.Wavelet.HAAR, wav.Wavelet.D4):
+    query(f"wavelet_{_kind.name.lower()}_grid")(wavelet_grid_query(_kind))
+    query(f"wavelet_{_kind.name.lower()}_grid_inverse")(wavelet_grid_query(_kind, True))
+
+
 @query("wavelet_round_trip", sql("cell model", "", f"SELECT cell_id, {q('density')} AS v FROM cell JOIN model USING (cell_id)"))
 def wavelet_round_trip(spark: SparkSession, d: str) -> DataFrame:
     n = dims(spark, d)
