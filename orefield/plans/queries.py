@@ -559,6 +559,14 @@ def stacked_blocks(spark: SparkSession, d: str) -> DataFrame:
     return linalg.stacked([(a, 100), (a.withColumn("v", 2 * F.col("v")), 50)])
 
 
+@query("stacked_blocks_whole", sql("sparse", "", f"SELECT row_id, col_id, {q('v', 8)} AS v FROM (SELECT row_id, col_id, v FROM sparse UNION ALL SELECT row_id + (SELECT max(row_id) + 1 FROM sparse), col_id, 2 * v FROM sparse)"))
+def stacked_blocks_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The whole matrix above its double."""
+    a = S.sparse(spark, d)
+    n = a.agg(F.coalesce(F.max("row_id") + 1, F.lit(0))).first()[0]
+    return linalg.stacked([(a, n), (a.withColumn("v", 2 * F.col("v")), n)]).select("row_id", "col_id", r(F.col("v"), 8).alias("v"))
+
+
 @query("lsqr_regression", f"SELECT {q('regr_intercept(y, x)', 4)} AS intercept, {q('regr_slope(y, x)', 4)} AS slope FROM (SELECT l_extendedprice::DOUBLE / 10000 AS y, l_quantity::DOUBLE / 10 AS x FROM lineitem)")
 def lsqr_regression(spark: SparkSession, d: str) -> DataFrame:
     """The normal equations are summed on the executors; the solver sees two columns."""

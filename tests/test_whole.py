@@ -34,3 +34,13 @@ def test_wavelets_of_the_whole_grid(spark, deep, kind):
         got = np.full(x.shape, np.nan)
         got[rows.k, rows.j, rows.i] = rows.v
         assert np.abs(got - want).max() < 1e-5
+
+
+def test_all_rows_are_stacked(spark, deep):
+    a = S.sparse(spark, deep).toPandas()
+    got = QUERIES["stacked_blocks_whole"](spark, deep).toPandas()
+    n = a.row_id.max() + 1
+    assert a.row_id.max() >= 50
+    want = {(x.row_id, x.col_id): x.v for x in a.itertuples()} | {(x.row_id + n, x.col_id): 2 * x.v for x in a.itertuples()}
+    assert len(got) == len(want) == 2 * len(a)
+    assert {(x.row_id, x.col_id): x.v for x in got.itertuples()} == pytest.approx(want, abs=1e-8)
