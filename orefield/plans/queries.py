@@ -19,7 +19,7 @@ from ..sources import files, text
 from ..sources.scratch import scratch
 from ..streaming.observations import forward_stream
 from .config import Config
-from .inversion import Settings, invert, predicted, problem_of
+from .inversion import Problem, Settings, invert, problem_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -846,39 +846,42 @@ def grid_picture(spark: SparkSession, d: str) -> DataFrame:
 # runs
 
 
+#: Half of each line's coefficients stay.
+INVERSION_RATE = 0.5
+
+
 def planted(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, np.ndarray]:
-    """The upper two layers of the grid with a dense block in it."""
-    cells = S.cells(spark, d).where("k < 2")
+    """The grid with a dense block in its upper layer: cells with `truth`, observations, and the column weights by cell_id."""
+    cells = S.cells(spark, d)
     block = F.col("i").between(3, 6) & F.col("j").between(3, 6) & (F.col("k") == 0)
-    return cells, S.observations(spark, d), np.array([x.v for x in cells.select("cell_id", F.when(block, 300.0).otherwise(0.0).alias("v")).orderBy("cell_id").collect()])
+    w = np.array([x.column_weight for x in column_weights(spark, d).orderBy("cell_id").collect()])
+    return cells.withColumn("truth", F.when(block, 300.0).otherwise(0.0)), S.observations(spark, d), w
 
 
-def grav_problem(spark: SparkSession, d: str, settings: Settings, **more):
-    cells, obs, truth = planted(spark, d)
-    w = np.full(truth.size, 1.0)
-    p = problem_of(spark, "grav", obs, cells, np.zeros(obs.count()), w, settings, rate=1.0, **more)
-    p.measured = predicted(p, truth)
-    scale = 1 / max(1e-30, float(np.abs(p.measured).max()))
-    p.weight = scale
+def planted_problem(spark: SparkSession, d: str, name: str, settings: Settings, scale: float = 1.0, **more) -> Problem:
+    """Measured data come from the uncompressed kernel."""
+    cells, obs, w = planted(spark, d)
+    kind = ("magnetic", FIELD, INTENSITY) if more.get("field_") else ("gravity",)
+    data = kernels.forward(obs, cells.withColumn("truth", F.col("truth") * scale), "truth", *kind).orderBy("obs_id").collect()
+    p = problem_of(spark, name, obs, cells, np.array([x.d for x in data]), w, settings, rate=INVERSION_RATE, **more)
+    p.weight = 1 / max(1e-30, float(np.abs(p.measured).max()))
     return p
 
 
 @query("inversion_gravity")
 def inversion_gravity(spark: SparkSession, d: str) -> DataFrame:
-    settings = Settings((10, 10, 2), (S.DX, S.DY, S.DZ), major=3, minor=20, wavelet=wav.Wavelet.HAAR)
-    p = grav_problem(spark, d, settings, alpha=1e-3)
+    settings = Settings(dims(spark, d), (S.DX, S.DY, S.DZ), major=3, minor=20, wavelet=wav.Wavelet.HAAR)
+    p = planted_problem(spark, d, "grav", settings, alpha=1e-3)
     log = invert([p], settings)
     return spark.createDataFrame([(int(x["round"]), x["data_grav"]) for x in log], "round int, data_cost double")
 
 
 @query("inversion_joint")
 def inversion_joint(spark: SparkSession, d: str) -> DataFrame:
-    settings = Settings((10, 10, 2), (S.DX, S.DY, S.DZ), major=3, minor=20, cross_weight=1e-3)
-    g = grav_problem(spark, d, settings, alpha=1e-3, beta=1e-4, rho=1e-3, bounds=np.tile(np.array([[0.0, 50.0], [250.0, 350.0]])[:, None, :], (1, 200, 1)))
-    cells, obs, truth = planted(spark, d)
-    m = problem_of(spark, "magn", obs, cells, np.zeros(obs.count()), np.ones(truth.size), settings, field_=FIELD, intensity=INTENSITY, alpha=1e-3)
-    m.measured = predicted(m, truth / 3000)
-    m.weight = 1 / float(np.abs(m.measured).max())
+    settings = Settings(dims(spark, d), (S.DX, S.DY, S.DZ), major=3, minor=20, wavelet=wav.Wavelet.HAAR, cross_weight=1e-3)
+    bounds = np.tile(np.array([[0.0, 50.0], [250.0, 350.0]])[:, None, :], (1, math.prod(settings.dims), 1))
+    g = planted_problem(spark, d, "grav", settings, alpha=1e-3, beta=1e-4, rho=1e-3, bounds=bounds)
+    m = planted_problem(spark, d, "magn", settings, 1 / 3000, field_=FIELD, intensity=INTENSITY, alpha=1e-3)
     log = invert([g, m], settings)
     return spark.createDataFrame([(int(x["round"]), x["data_grav"], x["data_magn"], x["cross_gradient"]) for x in log], "round int, cost_grav double, cost_magn double, cross_gradient double")
 

@@ -5,7 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from orefield import schema as S
+from orefield.operators import linalg
 from orefield.operators.wavelet import Wavelet, lift
+from orefield.plans import inversion, queries
+from orefield.plans.inversion import problem_of
 from orefield.plans.queries import QUERIES
 
 LAYERS = 6
@@ -44,3 +47,34 @@ def test_all_rows_are_stacked(spark, deep):
     want = {(x.row_id, x.col_id): x.v for x in a.itertuples()} | {(x.row_id + n, x.col_id): 2 * x.v for x in a.itertuples()}
     assert len(got) == len(want) == 2 * len(a)
     assert {(x.row_id, x.col_id): x.v for x in got.itertuples()} == pytest.approx(want, abs=1e-8)
+
+
+@pytest.mark.parametrize("name", ["inversion_gravity", "inversion_joint"])
+def test_inversions_take_the_whole_grid(spark, deep, monkeypatch, name):
+    seen, most = [], {}
+
+    def watched(spark, name, obs, cells, measured, column_weight, settings, rate=1.0, **more):
+        seen.append((cells.count(), column_weight, settings, rate))
+        return problem_of(spark, name, obs, cells, measured, column_weight, settings, rate, **more)
+
+    monkeypatch.setattr(queries, "problem_of", watched)
+    monkeypatch.setattr(inversion, "lines_operator", lambda *a: linalg.lines_operator(*a, **most))
+    here = QUERIES[name](spark, deep).toPandas()
+    for n, w, settings, rate in seen:
+        assert n == w.size == 100 * LAYERS and settings.dims == (10, 10, LAYERS)
+        assert rate < 1 and settings.wavelet is Wavelet.HAAR and np.ptp(w) > 0
+    most["most"] = 0
+    there = QUERIES[name](spark, deep).toPandas()
+    assert np.allclose(here, there, rtol=1e-9)
+
+
+def test_two_layers_without_compression_are_fitted(spark, deep):
+    cells, obs, _ = queries.planted(spark, deep)
+    cells = cells.where("k < 2")
+    truth = np.array([x.truth for x in cells.orderBy("cell_id").collect()])
+    settings = inversion.Settings((10, 10, 2), (S.DX, S.DY, S.DZ), major=3, minor=20, wavelet=Wavelet.HAAR)
+    p = problem_of(spark, "grav", obs, cells, np.zeros(obs.count()), np.ones(truth.size), settings)
+    p.measured = inversion.predicted(p, truth)
+    p.weight = 1 / float(np.abs(p.measured).max())
+    inversion.invert([p], settings)
+    assert p.costs == sorted(p.costs, reverse=True) and p.costs[-1] < 1e-2
