@@ -695,6 +695,23 @@ def cross_gradient_entries(spark: SparkSession, d: str) -> DataFrame:
     return got.where("axis = 'x' and problem = 1").select("cell_id", "col_id", r(F.col("v"), 8).alias("v"))
 
 
+def cross_all_sql() -> str:
+    """Both models' derivatives of the three parts: tau_a = m1p * m2q - m1q * m2p on forward or backward differences."""
+    parts = []
+    for a, p, b in ("xyz", "yzx", "zxy"):
+        for problem, along, factor in ((1, p, f"m2{b}"), (1, b, f"-m2{p}"), (2, b, f"m1{p}"), (2, p, f"-m1{b}")):
+            e, stride = f"(CASE kind WHEN 'backward' THEN -1 ELSE 1 END) / abs({along}2 - {along}1)", {"x": 1, "y": 10, "z": 100}[along]
+            for column, sign in ((f"cell_id + CASE kind WHEN 'backward' THEN -{stride} ELSE {stride} END", ""), ("cell_id", "-")):
+                parts.append(f"SELECT cell_id, '{a}' AS axis, {problem} AS problem, {column} AS col_id, {sign}({factor} * {e}) AS v FROM tau WHERE kind <> 'none'")
+    return ", ce AS (" + " UNION ALL ".join(parts) + ")"
+
+
+@query("cross_gradient_entries_all", sql("cell model", tau_sql(False) + cross_all_sql(), f"SELECT cell_id, axis, problem, col_id, {q('sum(v) * 3.0::DOUBLE', 8)} AS v FROM ce GROUP BY 1, 2, 3, 4 HAVING sum(v) <> 0"))
+def cross_gradient_entries_all(spark: SparkSession, d: str) -> DataFrame:
+    got = constraints.cross_gradient_entries(constraints.cross_gradient(two_models(spark, d), dims(spark, d)), 3.0)
+    return got.select("cell_id", "axis", "problem", "col_id", r(F.col("v"), 8).alias("v"))
+
+
 def bell_sql(c: Cluster, x: str, y: str) -> str:
     a, b, e = (repr(v) + "::DOUBLE" for v in (c.sigma1**2, c.sigma2**2, c.sigma12**2))
     dx, dy = f"({x} - {c.mu1!r}::DOUBLE)", f"({y} - {c.mu2!r}::DOUBLE)"

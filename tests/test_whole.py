@@ -1,5 +1,6 @@
 """The whole tables go through the queries: a grid of six layers, deeper than the smallest given one."""
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -78,3 +79,16 @@ def test_two_layers_without_compression_are_fitted(spark, deep):
     p.weight = 1 / float(np.abs(p.measured).max())
     inversion.invert([p], settings)
     assert p.costs == sorted(p.costs, reverse=True) and p.costs[-1] < 1e-2
+
+
+def test_all_blocks_of_cross_gradient_entries(spark, deep):
+    """Six blocks, and their values the SQL's on a grid that has inner cells; DuckDB reads the folders by a pattern."""
+    con = duckdb.connect()
+    con.execute(f"create view part as select * from '{deep}/part.parquet/*.parquet'")
+    want = con.execute(queries.ORACLE_SQL["cross_gradient_entries_all"]).df()
+    got = QUERIES["cross_gradient_entries_all"](spark, deep).toPandas()
+    key = ["cell_id", "axis", "problem", "col_id"]
+    assert len(got.groupby(["axis", "problem"])) == 6
+    assert got.groupby(["axis", "problem"]).size().min() > 0
+    both = got.merge(want, on=key, suffixes=("", "_sql"))
+    assert len(got) == len(want) == len(both) and np.allclose(both.v, both.v_sql, atol=1e-7)
