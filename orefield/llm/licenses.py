@@ -2,7 +2,8 @@
 
 A block is a run of up to 2*step words, one beginning every `step` words, so any run of `step` words lies whole in a
 block; step is at least the longest notice. Block and notice are sets of words. A notice is found in a block that holds at least
-`threshold` of its distinct words. The join is exact: the notices' words are ordered by how many documents hold them, rarest
+`threshold` of its distinct words. A notice of fewer than SHORT distinct words is found only where its words are consecutive, since
+most of so small a set turns up by chance. The join is exact: the notices' words are ordered by how many documents hold them, rarest
 first; a block's words in that order are the notices' words that it has (others cannot count). Length filter: a block with
 fewer such words than the overlap needed is out. Prefix filter: a pair must share a word among the notice's first
 |T|-o+1 and the block's first |B|-o+1. Positional filter: from that word on both must have o words left. What remains
@@ -37,6 +38,8 @@ NOTICES = {
 }
 THRESHOLD = 0.8
 STEP = 64
+#: A notice with fewer distinct words must stand in the text word by word.
+SHORT = 8
 
 
 def pattern(phrases: list[str]) -> str:
@@ -56,8 +59,8 @@ def strings(xs: list[str]) -> Column:
     return F.array(*(F.lit(x) for x in xs)) if xs else F.array().cast("array<string>")
 
 
-def places(docs: DataFrame, phrases: dict[str, str]) -> DataFrame:
-    """Per row, from one scan: words, places of the phrases, first and last of them in words, and their labels.
+def places(docs: DataFrame, phrases: dict[str, str], short: dict[str, str] | None = None) -> DataFrame:
+    """Per row, from one scan: words, places of the phrases, first and last of them in words, their labels, and those of short notices.
 
     No phrase's end begins another, so places do not overlap and counting left to right finds all.
     """
@@ -68,7 +71,8 @@ def places(docs: DataFrame, phrases: dict[str, str]) -> DataFrame:
     return base.select("doc_id", "th", "n_words", "n_base",
         F.when(has, count(F.regexp_extract("text", f"(?s)^(.*?){every}", 1))).alias("first_word"),
         F.when(has, count(F.regexp_extract("text", f"(?s)^(.*){every}", 1))).alias("last_word"),
-        F.when(has, F.array_compact(F.array(*(F.when(F.col("text").rlike(pattern([p])), k) for k, p in sorted(phrases.items()))))).otherwise(strings([])).alias("base"))
+        F.when(has, F.array_compact(F.array(*(F.when(F.col("text").rlike(pattern([p])), k) for k, p in sorted(phrases.items()))))).otherwise(strings([])).alias("base"),
+        F.array_compact(F.array(*(F.when(F.col("text").rlike(pattern([" ".join(tokens(p))])), k) for k, p in sorted(short.items())))).alias("short") if short else strings([]).alias("short"))
 
 
 def rarest_first(docs: DataFrame, vocabulary: list[str]) -> list[str]:
@@ -89,7 +93,7 @@ def block_matches(docs: DataFrame, notices: dict[str, str], threshold: float = T
     need = {k: math.ceil(threshold * len(s) - 1e-9) for k, s in sets.items()}
     rows = [(w, k, i, need[k], sorted(s, key=rank.get)) for k, s in sets.items() for i, w in enumerate(sorted(s, key=rank.get)[: len(s) - need[k] + 1])]
     prefixes = docs.sparkSession.createDataFrame(rows, "w string, label string, i int, need int, notice array<string>")
-    least, vocabulary = min(need.values()), strings(order)
+    least, vocabulary = min(need.values(), default=1), strings(order)
     found = docs.select("doc_id", F.xxhash64("text").alias("th"), words(F.col("text")).alias("ws")).where(F.arrays_overlap("ws", strings(sorted({r[0] for r in rows}))))
     block = lambda k: F.struct(k.alias("block"), F.array_intersect(vocabulary, F.slice("ws", k * step + 1, 2 * step)).alias("b"))
     blocks = F.filter(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size("ws") - 1) / step) - F.when(F.size("ws") > step, 1).otherwise(0)).cast("int")), block), lambda x: F.size(x["b"]) >= least)
@@ -105,13 +109,14 @@ def block_matches(docs: DataFrame, notices: dict[str, str], threshold: float = T
 def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: dict[str, str] = NOTICES, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: phrase places and the labels of phrases and of notices; score 1 for a phrase, else the best containment, else 0."""
     docs = docs.select("doc_id", "text")
-    names = block_matches(docs, notices, threshold).groupBy("doc_id", "th").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
-    left, right = places(docs, phrases).alias("a"), names.alias("b")
+    short = {k: v for k, v in notices.items() if len(set(tokens(v))) < SHORT}
+    names = block_matches(docs, {k: v for k, v in notices.items() if k not in short}, threshold).groupBy("doc_id", "th").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
+    left, right = places(docs, phrases, short).alias("a"), names.alias("b")
     both = left.join(right, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & F.col("a.th").eqNullSafe(F.col("b.th")), "left")
     joined = lambda x: F.array_join(F.array_sort(F.array_distinct(x)), ",")
     return both.select("a.doc_id", "n_words", "n_base", "first_word", "last_word", joined(F.col("base")).alias("base_labels"),
-        joined(F.concat("base", F.coalesce("more", strings([])))).alias("labels"),
-        F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("best", F.lit(0.0))).alias("score"))
+        joined(F.concat("base", "short", F.coalesce("more", strings([])))).alias("labels"),
+        F.when((F.col("n_base") > 0) | (F.size("short") > 0), 1.0).otherwise(F.coalesce("best", F.lit(0.0))).alias("score"))
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
