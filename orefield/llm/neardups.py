@@ -8,11 +8,14 @@ So side * side tables need 2 * side * PART minhashes instead of 2 * side * side
 with a chance of about 2 * (1 - p**PART)**side, which `side` holds to LOST at the threshold (7e-5 at 0.85, then 2e-6 at 0.9); a
 component hangs on many links. Sets so small that they can only link with equal sets need no key.
 
-Table entries carry four bits of each minhash. Pairs that agree in fewer of these than is likely at the threshold, by five
-deviations, are no candidates. Tables with few sets yield pairs, the same pair once in all; large ones yield lists, cut into
-pairs of blocks of BLOCK sets, in which only sets of different components so far are compared, so no group is expanded into its pairs.
-Every link is confirmed on the full sets, which a second pass over the documents makes for candidates alone (a bitmap of
-fixed size keeps most others out, the join the rest). Components grow from links by least labels and jumps, in rounds that are written out.
+Table entries carry four bits of each minhash. Pairs of one table key that agree in fewer of these than is likely at the threshold,
+by five deviations, are no candidates. What candidates connect is a family; each table gives one edge a member (to the least
+member it connects to), so a family is never expanded into its pairs. A key that holds many sets of one chunk sends on one of them, and its
+sets are one family without further question: families may be larger than needed, never smaller. Then each set of a family goes to the
+family's task once (families over BLOCK shingles are cut into blocks, and each pair of blocks is one task's). There
+sets of different components so far are compared by their whole minhashes, by the same rule, and links confirmed on the full sets, which a second pass
+over the documents makes for members of families alone (a bitmap of fixed size keeps most others out, the join the rest).
+Components grow from edges by least labels and jumps, in rounds that are written out.
 
 Defined cases: null and empty texts have no set and link with nothing; a null doc_id is never a component's id unless all in it are
 null; rows of equal doc_id and text are one document, all kept or none; rows of equal doc_id and different texts stay apart, unless
@@ -34,16 +37,19 @@ from .substrings import BASES, rolling, word_hash
 
 PERCENT = 85
 PART, LOST = 2, 1e-4
-SMALL, BLOCK = 8, 1024
+BLOCK = 1 << 20
 ENTRIES_PER_TASK = 1 << 19
+SETS_PER_CHUNK, HOT = 2048, 256
 BITMAP_BITS = 27
 SHINGLES_PER_CHUNK = 1 << 19
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
+
 class Layout:
-    """The tables for a threshold in percent. entry: a table's key, the set's id, four bits of each minhash; least: the
-    shingles of the smallest set that can link with another."""
+    """The tables for a threshold in percent. entry: a table's key, the set's id, four bits of each minhash, 1 if it stands for
+    all sets of the key in its chunk; least: the shingles of the smallest set that can link with another; matching, near: in how many
+    minhashes candidates agree, by four bits and whole."""
 
     def __init__(self, percent: int) -> None:
         if not 50 <= percent <= 100:
@@ -53,10 +59,9 @@ class Layout:
         while 2 * (1 - p**PART) ** self.side > LOST:
             self.side += 1
         self.hashes = 2 * self.side * PART
-        agree = p + (1 - p) / 16
-        self.matching = math.floor(self.hashes * agree - 5 * math.sqrt(self.hashes * agree * (1 - agree)))
+        self.matching, self.near = (math.floor(self.hashes * q - 5 * math.sqrt(self.hashes * q * (1 - q))) for q in (p + (1 - p) / 16, p))
         self.least = math.ceil(100 / (100 - percent)) - 1 if percent < 100 else 1 << 62
-        self.entry = np.dtype([("key", "<u8"), ("sid", "<i8"), ("bits", "u1", self.hashes // 2)])
+        self.entry = np.dtype([("key", "<u8"), ("sid", "<i8"), ("bits", "u1", self.hashes // 2), ("whole", "u1")])
         self.factors = np.random.default_rng(20).integers(1, 1 << 63, self.hashes, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -126,6 +131,7 @@ def entries_of(sids: np.ndarray, sigs: np.ndarray, layout: Layout) -> np.ndarray
     out["key"], out["sid"] = key.reshape(-1), np.repeat(sids, tables)
     low = (sigs & 15).astype(np.uint8)
     out["bits"] = np.repeat(low[:, 0::2] << 4 | low[:, 1::2], tables, axis=0)
+    out["whole"] = 0
     return out
 
 
@@ -135,71 +141,83 @@ def matches(bits: np.ndarray, one: np.ndarray) -> np.ndarray:
     return ((x & 0xF0) == 0).sum(axis=1) + ((x & 0x0F) == 0).sum(axis=1)
 
 
-CANDIDATE = ["a", "b", "list", "part"]
+def groups_of(e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries sorted by key and id, and the start and size of each key's."""
+    e = e[np.lexsort((e["sid"], e["key"]))]
+    starts = np.flatnonzero(np.concatenate([[True], e["key"][1:] != e["key"][:-1]])) if len(e) else np.zeros(0, np.int64)
+    return e, starts, np.diff(np.append(starts, len(e)))
+
+
+def star(sids: np.ndarray) -> np.ndarray:
+    """Edges from the least of sorted ids to the others."""
+    return np.column_stack([np.full(sids.size - 1, sids[0]), sids[1:]])
+
+
+def gathered(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The entries of a chunk to send on, and edges among those that stay: a key of more than HOT sets sends its first."""
+    e, starts, sizes = groups_of(e)
+    edges, stay = [np.zeros((0, 2), np.int64)], np.ones(len(e), bool)
+    for at, size in zip(starts[sizes > HOT], sizes[sizes > HOT], strict=True):
+        edges.append(star(e["sid"][at : at + size]))
+        stay[at + 1 : at + size] = False
+        e["whole"][at] = 1
+    return e[stay], np.unique(np.concatenate(edges), axis=0)
+
+
+def family_edges(e: np.ndarray, matching: int) -> np.ndarray:
+    """Edges (least, other) that connect what the candidates among these entries connect."""
+    e, starts, sizes = groups_of(e)
+    out = [np.zeros((0, 2), np.int64)]
+    at = starts[sizes == 2]
+    ok = (matches(e["bits"][at], e["bits"][at + 1]) >= matching) | (e["whole"][at] | e["whole"][at + 1]).astype(bool)
+    out.append(np.column_stack([e["sid"][at[ok]], e["sid"][at[ok] + 1]]))
+    for first, size in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
+        own = e[first : first + size]
+        for group in [np.arange(size)] if own["whole"].any() else alike(own["bits"], matching):
+            out.append(star(own["sid"][group]))
+    return np.unique(np.concatenate(out), axis=0)
 
 
 def candidates(reps: DataFrame, layout: Layout) -> DataFrame:
-    """Staged, distinct: pairs (a < b; list null) and members of lists (a; list, part)."""
+    """Staged, distinct edges (a, b): two sets of one family connected by them can be linked, others cannot."""
     n = reps.count()
     tasks = max(1, -(-n * layout.side**2 // ENTRIES_PER_TASK))
     buckets = 1 << (4 * tasks).bit_length()
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Entries by bucket; a bucket below 0 holds edges."""
         for whole in batches:
-            for at in range(0, whole.num_rows, 2048):
-                batch = whole.slice(at, 2048)
+            for at in range(0, whole.num_rows, SETS_PER_CHUNK):
+                batch = whole.slice(at, SETS_PER_CHUNK)
                 sigs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, layout.hashes)
-                e = entries_of(batch.column(0).to_numpy(), sigs, layout)
+                e, near = gathered(entries_of(batch.column(0).to_numpy(), sigs, layout))
                 bucket = (e["key"] % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 e, bucket = e[order], bucket[order]
                 edges = np.concatenate([np.flatnonzero(np.diff(bucket, prepend=-1)), [bucket.size]])
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[edges[:-1]], pa.int64()), pa.array([e[x:y].tobytes() for x, y in zip(edges, edges[1:], strict=False)], pa.binary())], names=["bucket", "entries"])
+                names, bodies = bucket[edges[:-1]].tolist(), [e[x:y].tobytes() for x, y in zip(edges, edges[1:], strict=False)]
+                if len(near):
+                    names.append(-1 - int(near[0, 0]) % (1 << 20))
+                    bodies.append(near.tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(bodies, pa.binary())], names=["bucket", "entries"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.frombuffer(x, layout.entry) for batch in batches for x in batch.column(0).to_pylist()]
-        if not held:
-            return
-        e = np.concatenate(held)
-        held.clear()
-        e = e[np.lexsort((e["sid"], e["key"]))]
-        new = np.ones(len(e), bool)
-        new[1:] = e["key"][1:] != e["key"][:-1]
-        starts = np.flatnonzero(new)
-        sizes = np.diff(np.append(starts, len(e)))
-        pairs: list[np.ndarray] = []
-        for size in range(2, SMALL + 1):  # tables of one size together
-            at = starts[sizes == size]
-            for i in range(size if at.size else 0):
-                for j in range(i + 1, size):
-                    x, y = e[at + i], e[at + j]
-                    ok = matches(x["bits"], y["bits"]) >= layout.matching
-                    pairs.append(np.column_stack([x["sid"][ok], y["sid"][ok]]))
-        found = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
-        rows = [(found[:, 0], found[:, 1], None, None)]
-        done: set[bytes] = set()
-        for at, size in zip(starts[sizes > SMALL], sizes[sizes > SMALL], strict=True):
-            own = e[at : at + size]
-            if (name := own["sid"].tobytes()) in done:
-                continue
-            done.add(name)
-            for group in alike(own["bits"], layout.matching) if size <= 2 * BLOCK else [np.arange(size)]:
-                sids = own["sid"][group]
-                if sids.size < 2:
-                    continue
-                name = int(mixed(sids.view(np.uint64)).sum().view(np.int64))
-                blocks = -(-sids.size // BLOCK)
-                for k in range(blocks):
-                    block = sids[k * BLOCK : (k + 1) * BLOCK]
-                    for other in range(blocks):
-                        part = min(k, other) * blocks + max(k, other)
-                        rows.append((block, None, np.full(block.size, name), np.full(block.size, part)))
-        full = lambda c, m: pa.nulls(m, pa.int64()) if c is None else pa.array(c, pa.int64())
-        for row in rows:
-            yield pa.RecordBatch.from_arrays([full(c, len(row[0])) for c in row], names=CANDIDATE)
+        held, found = [], [np.zeros((0, 2), np.int64)]
+        for batch in batches:
+            for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if name < 0:
+                    found.append(np.frombuffer(body, np.int64).reshape(-1, 2))
+                else:
+                    held.append(np.frombuffer(body, layout.entry))
+        if held:
+            e = np.concatenate(held)
+            held.clear()
+            found.append(family_edges(e, layout.matching))
+        every = np.unique(np.concatenate(found), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(every[:, k], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     entries = reps.select("sid", "sig").mapInArrow(lean(deal), "bucket long, entries binary")
-    met = entries.repartition(int(tasks), "bucket").select("entries").mapInArrow(lean(meet), ", ".join(f"{c} long" for c in CANDIDATE))
+    met = entries.repartition(int(tasks), "bucket").mapInArrow(lean(meet), "a long, b long")
     return stage(met.distinct(), "neardup-candidates")
 
 
@@ -217,7 +235,7 @@ def alike(bits: np.ndarray, matching: int) -> Iterator[np.ndarray]:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """Staged sid, body (packed sorted shingles) of the wanted sets."""
+    """Staged sid, body (packed sorted shingles), family of the wanted (sid, family)."""
     size = 1 << BITMAP_BITS
     spot = F.pmod(F.xxhash64("sid"), F.lit(size)) + 1  # Spark numbers bits from 1
     bits = stage(wanted.groupBy(F.bitmap_bucket_number(spot).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(spot)).alias("bits")), "neardup-bits")
@@ -243,73 +261,80 @@ def sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
 
     made = docs.select("text", "sid", spot.alias("spot")).mapInArrow(lean(run), "sid long, body binary")
     # rows of one document (equal doc_id and text) make one set
-    return stage(made.join(wanted, "sid", "left_semi").dropDuplicates(["sid"]), "neardup-sets")
-
+    return stage(made.join(wanted, "sid").dropDuplicates(["sid"]), "neardup-sets")
 
-def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    shared = np.intersect1d(a, b, assume_unique=True).size
-    return 100 * shared >= percent * (a.size + b.size - shared)
 
-
-def spanning(sids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links that connect just what all links among these sets connect."""
-    n = len(sets)
+def spanning(sids: np.ndarray, sets: list[np.ndarray], blocks: np.ndarray, layout: Layout) -> list[tuple[int, int]]:
+    """Links that connect just what all links among these sets connect; of two blocks, what links across them connect."""
+    n, percent = len(sets), layout.percent
     sizes = np.array([s.size for s in sets])
     order = np.argsort(sizes, kind="stable")
-    sets, sids, sizes = [sets[k] for k in order], sids[order], sizes[order]
+    sets, sids, sizes, blocks = [sets[k] for k in order], sids[order], sizes[order], blocks[order]
     starts = np.concatenate([[0], np.cumsum(sizes)])
-    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
-    label, out = np.arange(n), []
-    mark = np.zeros(ids.max() + 1, np.int32)
+    sigs = signatures(sets, layout)
+    known, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    ids = ids.astype(np.int32)
+    mark = np.zeros(known.size, bool)
+    del known
+    label, out, two = np.arange(n), [], blocks.min() != blocks.max()
     for k in range(n - 1):
         top = np.searchsorted(100 * sizes, 10000 * sizes[k] // percent + 100, "right")  # the sizes that can be similar
-        if top <= k + 1 or (label[k + 1 : top] == label[k]).all():
+        open_ = label[k + 1 : top] != label[k]
+        if two:
+            open_ &= blocks[k + 1 : top] != blocks[k]
+        js = k + 1 + np.flatnonzero(open_)
+        if js.size:
+            js = js[(sigs[js] == sigs[k]).sum(axis=1) >= layout.near]
+        if not js.size:
             continue
-        mark[ids[starts[k] : starts[k + 1]]] = 1
-        shared = np.add.reduceat(mark[ids[starts[k + 1] : starts[top]]], starts[k + 1 : top] - starts[k + 1])
-        mark[ids[starts[k] : starts[k + 1]]] = 0
-        near = 100 * shared >= percent * (sizes[k] + sizes[k + 1 : top] - shared)
-        for j in k + 1 + np.flatnonzero(near & (label[k + 1 : top] != label[k])):
-            if label[j] != label[k]:
-                label[label == label[j]] = label[k]
-                out.append((int(sids[k]), int(sids[j])))
+        mark[ids[starts[k] : starts[k + 1]]] = True
+        for at in range(0, js.size, 256):
+            part = js[at : at + 256]
+            ends = np.cumsum(sizes[part])
+            shared = np.add.reduceat(mark[np.concatenate([ids[starts[j] : starts[j + 1]] for j in part])].astype(np.int32), ends - sizes[part])
+            for j in part[100 * shared >= percent * (sizes[k] + sizes[part] - shared)]:
+                if label[j] != label[k]:
+                    label[label == label[j]] = label[k]
+                    out.append((int(sids[k]), int(sids[j])))
+        mark[ids[starts[k] : starts[k + 1]]] = False
     return out
 
 
-def links(found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Staged links (a, b), confirmed on full sets."""
+def dealt(sets: DataFrame) -> DataFrame:
+    """The sets of each family by task: family, part, block, sid, body. A family of up to BLOCK shingles is one part; a larger one has
+    a part for each pair of its blocks, a block with itself included."""
+    totals = sets.groupBy("family").agg(F.sum(F.length("body") / 8).alias("total")).where(F.col("total") > BLOCK)
+    blocks = F.coalesce(F.ceil(F.col("total") / BLOCK), F.lit(1))
+    rows = sets.join(totals, "family", "left").select("family", blocks.alias("blocks"), F.pmod(F.xxhash64("sid"), blocks).alias("block"), "sid", "body")
+    part = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.least("block", o) * F.col("blocks") + F.greatest("block", o))
+    return rows.select("family", F.explode(part).alias("part"), "block", "sid", "body")
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+def links(sets: DataFrame, layout: Layout) -> DataFrame:
+    """Staged links (a, b), confirmed on full sets."""
 
     def connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, sids, sets_ = None, [], []
+        now, sids, blocks, bodies = None, [], [], []
 
-        def done() -> pa.RecordBatch:
-            got = spanning(np.array(sids, np.int64), sets_, percent)
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in got], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        def done() -> Iterator[pa.RecordBatch]:
+            if len(sids) > 1 and (got := spanning(np.array(sids, np.int64), bodies, np.array(blocks, np.int64), layout)):
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in got], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         for batch in batches:
-            for name, part, sid, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (name, part) != now:
-                    if len(sids) > 1:
-                        yield done()
-                    now, sids, sets_ = (name, part), [], []
+            for family, part, block, sid, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (family, part) != now:
+                    yield from done()
+                    now, sids, blocks, bodies = (family, part), [], [], []
                 sids.append(sid)
-                sets_.append(np.frombuffer(body, np.uint64))
-        if len(sids) > 1:
-            yield done()
+                blocks.append(block)
+                bodies.append(np.frombuffer(body, np.uint64))
+        yield from done()
 
-    left, right = (sets.select(F.col("sid").alias(c), F.col("body").alias(f"body_{c}")) for c in "ab")
-    pairs = found.where("list is null").select("a", "b").join(left, "a").join(right, "b").select("a", "b", "body_a", "body_b").mapInArrow(lean(check), "a long, b long")
-    lists = found.where("list is not null").select("list", "part", "a").join(left, "a").select("list", "part", "a", "body_a")
-    lists = lists.repartition("list", "part").sortWithinPartitions("list", "part").mapInArrow(lean(connect), "a long, b long")
-    return stage(pairs.unionByName(lists), "neardup-links")
+    rows = dealt(sets).repartition("family", "part").sortWithinPartitions("family", "part")
+    return stage(rows.mapInArrow(lean(connect), "a long, b long"), "neardup-links")
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Staged node, label: the least node of each component, for nodes with edges.
 
     A round gives each node the least label around it and then the label of its label; rounds end when nothing changes.
@@ -317,7 +342,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     both = stage(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), "neardup-edges")
     labels = stage(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).withColumnRenamed("a", "node"), "neardup-labels")
-    for _ in range(most_rounds):
+    changed = True
+    while changed:  # labels only fall, so this ends
         around = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("near")).withColumnRenamed("a", "node")
         low = labels.join(around, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
@@ -325,9 +351,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         changed = new.where("label <> was").limit(1).count()
         unstage(labels)
         labels = new
-        if not changed:
-            return labels.select("node", "label")
-    raise RuntimeError(f"components are not settled after {most_rounds} rounds")
+    unstage(both)
+    return labels
 
 
 def deduplicated(docs: DataFrame, shingle: int = 3, percent: int = PERCENT) -> DataFrame:
@@ -339,10 +364,12 @@ def deduplicated(docs: DataFrame, shingle: int = 3, percent: int = PERCENT) -> D
     sets = rows.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sid")).alias("least"), F.min(F.struct("sid", "sig")).alias("rep"), F.first("n_shingles").alias("n"))
     reps = stage(sets.select("s1", "s2", "least", "rep.sid", "rep.sig", "n"), "neardup-reps")
     found = candidates(reps.where(F.col("n") >= layout.least), layout)
-    wanted = found.select(F.explode(F.array_compact(F.array("a", "b"))).alias("sid")).distinct()
-    confirmed = links(found, sets_of(docs, wanted, shingle), percent)
+    families = components(found)
+    members = sets_of(docs, families.select(F.col("node").alias("sid"), F.col("label").alias("family")), shingle)
+    confirmed = links(members, layout)
     labels = components(confirmed)
-    named = reps.select("s1", "s2", "least", "sid").join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    unstage(found, families, members, confirmed)
+    named = reps.select("s1", "s2", "least", "sid").join(labels.select(F.col("node").alias("sid"), "label"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     ids = named.groupBy("label").agg(F.min("least").alias("first"))
     of_set = stage(named.join(ids, "label").select("s1", "s2", F.col("first.doc_id").alias("component_id"), F.col("first.sid").alias("first_sid")), "neardup-components")
     out = rows.select("doc_id", "sid", "n_shingles", "s1", "s2").join(of_set, ["s1", "s2"], "left")

@@ -386,7 +386,58 @@ def test_a_large_group_of_near_copies(spark):
     same_components(neardups.deduplicated(documents(spark, rows), 5, 80).collect(), rows, shingle=5, percent=80)
 
 
-def test_blocks_and_components(spark, monkeypatch):
+def family_of(n, seed=11):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for k in range(n):
+        w = list(BASE)
+        for at in rng.integers(0, 80, rng.integers(0, 6)):
+            w[at] = f"edit{rng.integers(0, 100000)}"
+        rows.append((k, " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize("settings", [{"BLOCK": 5000, "HOT": 1000}, {"SETS_PER_CHUNK": 150, "HOT": 20}])
+def test_families_cut_into_blocks_and_hot_keys(spark, monkeypatch, settings):
+    for name, v in settings.items():
+        monkeypatch.setattr(neardups, name, v)
+    rows = family_of(400)
+    same_components(neardups.deduplicated(documents(spark, rows)).collect(), rows)
+
+
+def test_work_on_a_family_follows_its_members(spark):
+    """Edges a member and rows a member, from 500 to 8000 near copies."""
+    layout, edges = neardups.Layout(85), {}
+    for n in (500, 2000, 8000):
+        sets = {s.tobytes(): s for _, t in family_of(n) for s in [neardups.shingles(t, 3)]}
+        e = neardups.entries_of(np.arange(len(sets)), neardups.signatures(list(sets.values()), layout), layout)
+        edges[n] = len(neardups.family_edges(e, layout.matching)) / len(sets)
+    assert edges[8000] < 1.5 * edges[500] and edges[8000] < 12
+    members = spark.range(0, 5000).select((F.col("id") % 2).alias("family"), F.col("id").alias("sid"), F.lit(bytes(8 * 30)).alias("body"))
+    assert neardups.dealt(members).count() == 5000
+
+
+def test_recall_near_the_threshold(spark):
+    """2000 pairs of a similarity of 0.85 to 0.90, each a component of its own."""
+    rng, rows, want = np.random.default_rng(12), [], 0
+    for k in range(2000):
+        words = [f"w{k}x{j}" for j in range(int(rng.integers(60, 200)))]
+        n = len(words) - 2
+        fewest, most = np.ceil(n * 0.1 / 1.9), np.floor(n * 0.15 / 1.85)
+        cut = int(rng.integers(fewest, most + 1))
+        other = words[: len(words) - cut] + [f"v{k}x{j}" for j in range(cut)]
+        a, b = (neardups.shingles(" ".join(w), 3) for w in (words, other))
+        shared = np.intersect1d(a, b).size
+        if not 0.85 <= shared / (a.size + b.size - shared) <= 0.9:
+            continue
+        want += 1
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+    assert want > 1500
+    got = neardups.deduplicated(documents(spark, rows)).where("not kept").count()
+    assert got >= 0.99 * want
+
+
+def test_components(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (103, 102), (101, 103), (7, 7)], "a long, b long")
     got = {r.node: r.label for r in neardups.components(edges).collect()}
     assert all(got[k] == 0 for k in range(41)) and {got[k] for k in range(100, 104)} == {100}
