@@ -303,7 +303,7 @@ def spanning(sids: np.ndarray, sets: list[np.ndarray], blocks: np.ndarray, layou
 def dealt(sets: DataFrame) -> DataFrame:
     """The sets of each family by task: family, part, block, sid, body. A family of up to BLOCK shingles is one part; a larger one has
     a part for each pair of its blocks, a block with itself included."""
-    totals = sets.groupBy("family").agg(F.sum(F.length("body") / 8).alias("total")).where(F.col("total") > BLOCK)
+    totals = stage(sets.groupBy("family").agg(F.sum(F.length("body") / 8).alias("total")).where(F.col("total") > BLOCK), "neardup-large")
     blocks = F.coalesce(F.ceil(F.col("total") / BLOCK), F.lit(1))
     rows = sets.join(totals, "family", "left").select("family", blocks.alias("blocks"), F.pmod(F.xxhash64("sid"), blocks).alias("block"), "sid", "body")
     part = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.least("block", o) * F.col("blocks") + F.greatest("block", o))
