@@ -7,10 +7,11 @@ time when the demand reaches c, which inverts a quadratic in each linear segment
 position.
 
 Prefix sums run in two levels: words per (source, leading hash digits) first, then inside such a bucket, so that a
-source that holds most rows is spread over thousands of tasks. Nothing but one row per source is ever gathered.
+source, or a doc_id, that holds most rows is spread over thousands of tasks; the hash is of doc_id and text, so only rows equal in both stay together. Nothing but one row per source is ever gathered.
 
 Defined cases: null text has no words; a null source is a source of its own, last; documents without words get nothing
-to give and no position; equal doc_ids stand beside each other in the order, larger texts last; an empty table gives an
+to give and no position; rows of equal doc_id and text stand beside each other in the order; a very long text is a document as
+any, cut where its source's target is met; an empty table gives an
 empty mix. Columns of the input that are called like those made here are replaced in the plan only.
 """
 
@@ -82,7 +83,7 @@ def sized(docs: DataFrame) -> DataFrame:
     """docs with key (of the source), order (a fixed random order) and size (words)."""
     return docs.withColumns({
         "key": null_last(F.col("source")),
-        "order": F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))),
+        "order": F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit(""))))),
         "size": F.coalesce(F.regexp_count("text", F.lit(SPACE_WORD)), F.lit(0)).cast("long"),
     })
 
