@@ -6,11 +6,13 @@ and carry no payload. The archives are then read back record by record; digests
 of revisits from their record.
 
 The index of captures is merged externally. Each archive file gives one run, sorted by (URL key, timestamp, page_id) when it is read.
-Runs are range-partitioned by that key, and each range merges its slices of all runs with a loser tree: log2(k) comparisons
-a capture, in one pass over slices that stay in their runs' order. Spark's exchange spills what a range cannot hold.
+Runs are range-partitioned by that key (ties by run), and each range merges its slices of all runs with a loser tree: log2(k) comparisons
+a capture, in one pass over slices that stay in their runs' order. Tasks follow the bytes of the archives and the number of
+captures, so neither grows: a range holds about RANGE_ROWS captures, without payloads, which is what a task keeps in memory.
 
 Defined cases: null html is an empty payload; a null url has an empty key; rows with equal page_ids and equal large payloads are all
-responses if that page_id is the largest; an empty table gives no rows and no archive; other columns are not read.
+responses if that page_id is the largest; a null page_id counts as less than any, so such a row revisits the largest page_id of its payload, and where
+a payload has only null page_ids all are responses; an empty table gives no rows and no archive; other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,8 +33,11 @@ from pyspark.sql import functions as F
 from .common import new_path, open_store, stage, table, utf8
 
 FILE_BYTES = 64 << 20
+#: Archive bytes that a task reads back, and captures that a task merges, at most about.
+READ_BYTES, RANGE_ROWS = 256 << 20, 1 << 17
 LEAST = 1000
 EPOCH = datetime(2024, 1, 1, tzinfo=timezone.utc)
+FIRST, LAST = (int((datetime(*day, tzinfo=timezone.utc) - EPOCH).total_seconds()) for day in ((1, 1, 2), (9999, 12, 30)))
 
 
 def url_key(url: str | None) -> str:
@@ -46,8 +51,8 @@ def url_key(url: str | None) -> str:
 
 
 def timestamp(page_id: int | None) -> str:
-    """Pages carry no time of capture: one second a page_id, from a fixed day."""
-    return (EPOCH + timedelta(seconds=(page_id or 0) % (1 << 31))).strftime("%Y-%m-%dT%H:%M:%SZ")
+    """Pages carry no time of capture: one second a page_id, from a fixed day, up to the ends of the calendar; there page_id alone orders."""
+    return (EPOCH + timedelta(seconds=min(LAST, max(FIRST, page_id or 0)))).isoformat()[:19] + "Z"
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, sha1: str, refers_to: int | None) -> bytes:
@@ -86,7 +91,7 @@ def with_kinds(pages: DataFrame, least: int = LEAST) -> DataFrame:
     body = utf8(F.col("html"))
     digests = stage(pages.select("page_id", F.sha1(body).alias("sha1"), F.length(body).alias("n")).where(F.col("n") >= least).groupBy("sha1", "n").agg(F.max("page_id").alias("first"), F.count("*").alias("c")).where("c > 1").select("sha1", "first"), "warc-shared")
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), F.sha1(body).alias("sha1"))
-    return rows.join(digests, "sha1", "left").select("page_id", "url", "html", "sha1", F.when(F.col("first") != F.col("page_id"), F.col("first")).alias("refers_to"))
+    return rows.join(digests, "sha1", "left").select("page_id", "url", "html", "sha1", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first")).alias("refers_to"))
 
 
 def write_archives(rows: DataFrame, folder: str | None = None, file_bytes: int = FILE_BYTES) -> tuple[DataFrame, str]:
@@ -182,7 +187,9 @@ def read_runs(files: DataFrame, folder: str, run_rows: int = 1 << 16) -> DataFra
                 if rows:
                     yield batch_of(rows, name, part)
 
-    return files.select("file", "records").repartition(F.col("file")).mapInArrow(run, CAPTURE_DDL)
+    some = files.agg(F.count("*").alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("b")).first()
+    tasks = min(max(1, some.n), max(4 * files.sparkSession.sparkContext.defaultParallelism, -(-some.b // READ_BYTES)))
+    return files.select("file", "records").repartition(tasks).mapInArrow(run, CAPTURE_DDL)
 
 
 class LoserTree:
@@ -231,7 +238,7 @@ class LoserTree:
 
 
 def merged(runs: DataFrame) -> DataFrame:
-    """The captures of all runs in the order of (url_key, captured, page_id), over all partitions."""
+    """The captures of all staged runs in the order of (url_key, captured, page_id), over all partitions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slices: dict[str, list[pa.RecordBatch]] = {}
@@ -262,7 +269,8 @@ def merged(runs: DataFrame) -> DataFrame:
         if out:
             yield batch_of(out)
 
-    return runs.repartitionByRange(*SORT_KEY).sortWithinPartitions("run", "seq").mapInArrow(run, CAPTURE_DDL)
+    tasks = max(runs.sparkSession.sparkContext.defaultParallelism, -(-runs.count() // RANGE_ROWS))
+    return runs.repartitionByRange(tasks, *SORT_KEY, "run", "seq").sortWithinPartitions("run", "seq").mapInArrow(run, CAPTURE_DDL)
 
 
 def archive(pages: DataFrame, least: int = LEAST) -> DataFrame:
@@ -272,4 +280,4 @@ def archive(pages: DataFrame, least: int = LEAST) -> DataFrame:
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured")
+    return archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "captured")
