@@ -1,10 +1,12 @@
 """Media columns: content-addressed payloads in tar shards.
 
 A payload is stored losslessly as an 8-bit grey image, 64 samples a line (PNG: deflated, checksummed). Tasks append images to
-tar shards in the shared folder; a member's name is the digest of its image, and a payload that a task has stored in its open shard
-is not stored again. Rows carry only shard, offset, length and digest. They are written out before anything reads the shards, so a
+tar shards in the shared folder; a member's name is the digest of its image. Each payload is stored once: texts whose digest several rows share
+meet, one a task and digest, before they are stored (a bitmap of fixed size tells them from the others, which are stored where they
+lie). Rows carry only shard, offset, length and digest. They are written out before anything reads the shards, so a
 retried task leaves a shard that no row names, never a row without its bytes. Metadata columns come from range reads of
-the first 33 bytes of a member; samples are read by a second range read where they are asked for.
+the first 33 bytes of a member; samples are read by a second range read where they are asked for, each member once, in the order of the shards,
+by as many tasks as its bytes ask for.
 
 Defined cases: null and empty text give one line of 64 zero bytes; equal texts give equal values; very long texts are split into
 several image chunks; an empty table gives no rows; other columns are not read.
@@ -22,8 +24,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import new_path, open_store, stage, table
+from .common import maybe_in, new_path, open_store, stage, table, unstage, utf8
 
 LINE = 64
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -31,6 +34,8 @@ SIGNATURE = b"\x89PNG\r\n\x1a\n"
 HEADER = 33
 CHUNK = 1 << 28
 SHARD_BYTES = 64 << 20
+#: Stored bytes that a task reads back, at most about.
+READ_BYTES = 64 << 20
 
 
 def padded(body: bytes) -> bytes:
@@ -84,7 +89,7 @@ class Shards:
 
     def __init__(self, folder: str, most: int) -> None:
         self.fs, self.folder = open_store(folder)
-        self.most, self.out, self.at, self.held = most, None, 0, {}
+        self.most, self.out, self.at = most, None, 0
 
     def put(self, image: bytes) -> tuple[str, int, int, str]:
         """Shard, offset and length of the image, and its digest."""
@@ -92,17 +97,16 @@ class Shards:
         if self.out is not None and self.at > self.most:
             self.close()
         if self.out is None:
-            self.name, self.at, self.held = f"media-{uuid.uuid4().hex}.tar", 0, {}
+            self.name, self.at = f"media-{uuid.uuid4().hex}.tar", 0
             self.out = self.fs.open_output_stream(f"{self.folder}/{self.name}")
-        if digest not in self.held:
-            info = tarfile.TarInfo(f"{digest}.png")
-            info.size = len(image)
-            head = info.tobuf(tarfile.GNU_FORMAT)
-            self.held[digest] = self.at + len(head)
-            body = head + image + bytes(-len(image) % tarfile.BLOCKSIZE)
-            self.out.write(body)
-            self.at += len(body)
-        return self.name, self.held[digest], len(image), digest
+        info = tarfile.TarInfo(f"{digest}.png")
+        info.size = len(image)
+        head = info.tobuf(tarfile.GNU_FORMAT)
+        at = self.at + len(head)
+        body = head + image + bytes(-len(image) % tarfile.BLOCKSIZE)
+        self.out.write(body)
+        self.at += len(body)
+        return self.name, at, len(image), digest
 
     def close(self) -> None:
         if self.out is not None:
@@ -120,16 +124,21 @@ def stored(docs: DataFrame, folder: str | None = None, shard_bytes: int = SHARD_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shards = Shards(folder, shard_bytes)
         for batch in batches:
-            rows = [[], [], [], [], []]
-            for text in batch.column(1):
-                body = (text.as_py() or "").encode()
-                for column, v in zip(rows, (len(body), *shards.put(encode(padded(body)))), strict=True):
-                    column.append(v)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.int64()), pa.array(rows[3], pa.int64()), pa.array(rows[4], pa.string())], names=["doc_id", "n_bytes", "shard", "at", "length", "digest"])
+            got = [shards.put(encode(padded((text.as_py() or "").encode()))) for text in batch.column(1)]
+            columns = list(zip(*got, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True))], names=["key", "shard", "at", "length", "digest"])
         shards.close()
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return stage(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_bytes long, shard string, at long, length long, digest string"), "media-rows"), folder
+    body = utf8(F.col("text"))
+    key = F.unhex(F.sha2(body, 256)).alias("key")
+    keys = stage(docs.select("doc_id", F.length(body).cast("long").alias("n_bytes"), key), "media-keys")
+    shared = stage(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.xxhash64("key").alias("k")), "media-shared")
+    rows = maybe_in(docs.select("text", key).withColumn("k", F.xxhash64("key")), shared, "k")
+    once = rows.where("_maybe").groupBy("key").agg(F.first("text").alias("text"))
+    places = stage(rows.where("not _maybe").select("key", "text").unionByName(once).mapInArrow(run, "key binary, shard string, at long, length long, digest string"), "media-places")
+    out = stage(keys.join(places, "key").select("doc_id", "n_bytes", "shard", "at", "length", "digest"), "media-rows")
+    unstage(keys, shared, places)
+    return out, folder
 
 
 def read_back(rows: DataFrame, folder: str, samples: bool = True) -> DataFrame:
@@ -142,25 +151,27 @@ def read_back(rows: DataFrame, folder: str, samples: bool = True) -> DataFrame:
         fs, path = open_store(folder)
         name, file = None, None
         for batch in batches:
-            got, out = {}, []
-            where = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("shard", "at", "length", "digest")]
-            for shard, at, length, digest in zip(*where, strict=True):
-                if (shard, at) not in got:
-                    if shard != name:
-                        name, file = shard, fs.open_input_file(f"{path}/{shard}")
-                    found = header(file.read_at(HEADER, at))
-                    if samples:
-                        image = file.read_at(length, at)
-                        if (sha := hashlib.sha256(image).hexdigest()) != digest:
-                            raise ValueError(f"{shard} at {at} is not {digest}")
-                        payload = decode(image)
-                        found += (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-LINE:]), len(image), sha, feature(payload))
-                    got[shard, at] = found
-                out.append(got[shard, at])
+            out = []
+            for shard, at, length, digest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if shard != name:
+                    name, file = shard, fs.open_input_file(f"{path}/{shard}")
+                found = header(file.read_at(HEADER, at))
+                if samples:
+                    image = file.read_at(length, at)
+                    if (sha := hashlib.sha256(image).hexdigest()) != digest:
+                        raise ValueError(f"{shard} at {at} is not {digest}")
+                    payload = decode(image)
+                    found += (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-LINE:]), len(image), sha, feature(payload))
+                out.append(found)
             columns = list(zip(*out, strict=True)) or [()] * len(names)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, types[k]) for c, k in zip(columns, kinds, strict=True))], names=[*batch.schema.names, *names])
-
-    return rows.mapInArrow(run, ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema), *map(" ".join, zip(names, kinds))]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(c, types[k]) for c, k in zip(columns, kinds, strict=True))], names=["shard", "at", *names])
+
+    members = stage(rows.select("shard", "at", "length", "digest").distinct(), "media-members")
+    whole = members.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    tasks = max(2 * rows.sparkSession.sparkContext.defaultParallelism, -(-whole // READ_BYTES))
+    dealt = members.repartitionByRange(int(tasks), "shard", "at").sortWithinPartitions("shard", "at")
+    read = dealt.mapInArrow(run, ", ".join(["shard string, at long", *map(" ".join, zip(names, kinds))]))
+    return rows.join(read, ["shard", "at"]).select(*rows.columns, *names)
 
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
