@@ -6,10 +6,11 @@ feature, and for each pair of features the product of their vectors; with s = su
 features, the pairs sum to (s*s - q)/2, so scoring is linear in the number of features. Rows are scored where they lie,
 in one pass without an exchange.
 
-It is fitted on the driver with a sample of labelled rows, `most` of them if there are more (a documented bound; chosen by a hash of doc_id, so give or take a hundredth), never on
-rows held out: those whose crc32(doc_id as text) leaves 1 when divided by 3. Labels, lang, source and doc_id are not features.
+It is fitted on the driver with a sample of labelled rows, `most` of them if there are more (a documented bound; chosen by hashes, so give or take a few hundredths), never on
+rows held out: those whose crc32(doc_id as text) leaves 1 when divided by 3. Labels are bounded first (by doc_id), then the distinct (doc_id, text) that they join with, so an id that many
+documents share teaches no more than its part. Labels, lang, source and doc_id are not features.
 
-Defined cases: null text is empty text, which has a score as any; rows of labels without doc_id or quality teach nothing; with
+Defined cases: null text is empty text, which has a score as any, and so have very long texts, read whole; documents of one doc_id are scored each by its text; rows of labels without doc_id or quality teach nothing; with
 labels of one class only, or none, every score is the share of label 1 with one added to either class; an empty table gives no rows.
 """
 
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lean, table
+from .common import lean, stage, table, unstage
 
 BUCKETS, FACTORS, BINS = 1 << 16, 8, 16
 MOST_LABELLED = 8000
@@ -149,8 +150,12 @@ def learned(docs: DataFrame, labels: DataFrame, label: str = "quality", most: in
             yield pa.RecordBatch.from_arrays([pa.array([w.tolist() for w, _ in got], pa.list_(pa.int32())), pa.array([[float(x) for x in s] for _, s in got], pa.list_(pa.float64())), batch.column(1).cast(pa.int32())], names=["words", "stats", "y"])
 
     # `rows` follows `most`, whatever the size of labels, so its broadcast is bounded
-    known = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").select("text", "y", "doc_id")
-    got = known.sortWithinPartitions("doc_id", F.xxhash64("text")).select("text", "y").mapInArrow(lean(run), "words array<int>, stats array<double>, y int").toArrow()
+    known = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).join(F.broadcast(rows), "doc_id")
+    known_ = stage(known.dropDuplicates(["doc_id", "h"]), "quality-known")
+    share = most / max(most, known_.count())
+    known = known_.where(F.pmod(F.xxhash64("doc_id", "h", F.lit(8)), F.lit(1 << 30)) < int(share * (1 << 30)))
+    got = known.sortWithinPartitions("doc_id", "h").select("text", "y").mapInArrow(lean(run), "words array<int>, stats array<double>, y int").toArrow()
+    unstage(known_)
     words = [np.sort(np.array(x, np.int64)) for x in got["words"].to_pylist()]
     stats = np.array(got["stats"].to_pylist(), np.float64).reshape(len(words), N_STATS)
     y = np.array(got["y"].to_pylist(), np.float64)
