@@ -6,8 +6,11 @@ gives running bytes and ranks, a table of one row per range makes them global, a
 running bytes. Equal texts are neighbours: a group of them that a boundary would cut goes whole to one side while
 it holds less than 1/16 of a shard, and is cut otherwise, so no group can overfill a shard.
 
-Defined cases: null text counts as no bytes; null doc_ids stand before all; repeated rows stand beside each other; an
-empty table gives no rows; more shards than rows leave shards empty.
+The number of ranges follows the rows and bytes (RANGE_ROWS, RANGE_BYTES), and with it the length of the boundary list, 16 bytes a range.
+
+Defined cases: null text counts as no bytes; doc_ids of any type: those that are no integers are ordered by a hash of their text, null ones stand before all; repeated rows stand beside each other; a very
+long text is one record, which no cut divides, so its shard is over by as much as it; an empty table gives no rows; more shards than rows leave shards empty; where documents are returned, columns
+of theirs named size, shard or slot are kept as size_input, shard_input and slot_input.
 """
 
 from __future__ import annotations
@@ -21,12 +24,17 @@ from .common import stage, table, utf8
 RANGES_PER_SHARD, SAMPLE_PER_RANGE, OVERFULL = 16, 24, 2.0
 #: Groups of equal texts up to this share of a shard are never cut.
 WHOLE_GROUP = 1 / 16
+RANGE_ROWS, RANGE_BYTES = 1 << 22, 1 << 30
 LEAST = -(1 << 63)
 
 
+def number_of(doc_id: Column) -> Column:
+    return F.coalesce(doc_id.cast("string").try_cast("long"), F.when(doc_id.isNotNull(), F.xxhash64(doc_id.cast("string"))), F.lit(LEAST))
+
+
 def keyed(docs: DataFrame, extra: list[str] | None = None) -> DataFrame:
     body = utf8(F.col("text"))
-    return docs.select(*(extra or []), F.col("doc_id"), (F.length(body) + 8).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), F.xxhash64(body).alias("h"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("d"))
+    return docs.select(*(extra or []), F.col("doc_id"), (F.length(body) + 8).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), F.xxhash64(body).alias("h"), number_of(F.col("doc_id")).alias("d"))
 
 
 def lookup(bounds: list[tuple[int, int]], h: Column, d: Column) -> Column:
@@ -34,7 +42,7 @@ def lookup(bounds: list[tuple[int, int]], h: Column, d: Column) -> Column:
     if not bounds:
         return F.lit(0)
     steps = [1 << k for k in reversed(range(len(bounds).bit_length()))]
-    hs, ds = (F.array(*(F.lit(b[i]).cast("long") for b in bounds)) for i in (0, 1))
+    hs, ds = (F.split(F.lit(",".join(str(b[i]) for b in bounds)), ",").cast("array<bigint>") for i in (0, 1))  # folded to a constant
 
     def step(found: Column, by: Column) -> Column:
         at = found + by
@@ -53,11 +61,12 @@ def splitters(rows: DataFrame, ranges: int, per_range: int = SAMPLE_PER_RANGE) -
     total = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("b")).first()
     if not total.n:
         return [], 0
+    ranges = max(ranges, -(-total.n // RANGE_ROWS), -(-total.b // RANGE_BYTES))
     load = (F.col("size") / total.b + F.lit(1.0) / total.n) / 2
     u = F.pmod(F.xxhash64("h", "d", F.lit(17)), F.lit(1 << 40)) / F.lit(float(1 << 40))
     bounds: list[tuple[int, int]] = []
     todo: dict[int, float] = {0: 1.0}
-    for _ in range(6):
+    while todo:  # ends: a range of more than one key always gets a boundary, or no boundary is new
         want = {r: max(2, round(x * ranges)) for r, x in todo.items()}
         rate = F.element_at(F.create_map(*(F.lit(v) for r in todo for v in (r, per_range * want[r] / todo[r]))), F.col("r"))
         inside = rows.withColumn("r", lookup(bounds, F.col("h"), F.col("d"))).where(F.col("r").isin(list(todo)))
@@ -74,8 +83,6 @@ def splitters(rows: DataFrame, ranges: int, per_range: int = SAMPLE_PER_RANGE) -
         bounds = grown
         full = rows.groupBy(lookup(bounds, F.col("h"), F.col("d")).alias("r")).agg(F.sum(load).alias("x"), F.min(F.struct("h", "d")).alias("lo"), F.max(F.struct("h", "d")).alias("hi"))
         todo = {x.r: x.x for x in full.where((F.col("x") > OVERFULL / ranges) & (F.col("lo") < F.col("hi"))).collect()}
-        if not todo:
-            break
     return bounds, total.b
 
 
@@ -125,13 +132,13 @@ def shard(docs: DataFrame, shards: int = 24) -> DataFrame:
 
 
 def sharded_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
-    """The documents, range-partitioned, with size, shard and slot beside their columns (replacing columns so named)."""
+    """The documents, range-partitioned, with size, shard and slot beside their columns."""
     body = keyed(docs, [F.struct(*docs.columns).alias("row")])
     rows = stage(keyed(docs), "shard-keys")
     bounds, total = splitters(rows, shards * RANGES_PER_SHARD)
     placed = stage(ordered(body, bounds, rows), "shard-order")
     new = ["size", "shard", "slot"]
-    return assigned(placed, total, shards).select(*(F.col("row")[c].alias(c) for c in docs.columns if c not in new), *new)
+    return assigned(placed, total, shards).select(*(F.col("row")[c].alias(f"{c}_input" if c in new else c) for c in docs.columns), *new)
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
