@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import decontamination, licenses, media, mixing, neardups, quality, secrets, sharding, substrings, warc
+from .sql import ORACLE_SQL
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -16,4 +17,4 @@ QUERIES = {
     "op9_neardups": neardups.op9_neardups,
     "op10_licenses": licenses.op10_licenses,
 }
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
