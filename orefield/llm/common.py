@@ -8,8 +8,13 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words that white space parts.
-SPACE_WORD = r"[^\x20\x09-\x0D]+"
+#: What parts words, for words that white space parts.
+SPACES = r"[\x20\x09-\x0D]+"
+
+
+def split_words(text: Column, gap: str = SPACES) -> Column:
+    """The runs of a text between gaps. By splitting, since finding all matches copies the text for each of them, which is quadratic in long texts."""
+    return F.array_remove(F.split(text, gap), "")
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -24,7 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage, table
+from .common import split_words, stage, table
 
 #: A character of a word and one between words, before lower-casing A-Z.
 IN, OUT = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
@@ -61,7 +61,7 @@ def tokens(text: str) -> list[str]:
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(f"{IN}+"), F.lit(0))
+    return split_words(F.lower(text), f"{OUT}+")
 
 
 def strings(xs: list[str]) -> Column:
@@ -78,13 +78,13 @@ def looked_at(docs: DataFrame, phrases: dict[str, str], short: dict[str, str], n
     every = pattern(list(phrases.values()))
     sets = {k: sorted(set(tokens(v))) for k, v in notices.items()}
     vocabulary = sorted({w for v in (*phrases.values(), *short.values(), *notices.values()) for w in tokens(v)})
-    count = lambda x: F.regexp_count(x, F.lit(f"{IN}+")).cast("long")
+    count = lambda x: F.size(words(x)).cast("long")
     has_all = lambda v: F.size(F.array_intersect(strings(sorted(set(tokens(v)))), F.col("present"))) == len(set(tokens(v)))
     some = lambda held: F.array_compact(F.array(*(F.when(has_all(v) & F.col("text").rlike(pattern([" ".join(tokens(v))])), k) for k, v in sorted(held.items())))) if held else strings([])
     rows = docs.select("doc_id", F.xxhash64("text").alias("th"), F.coalesce("text", F.lit("")).alias("text")).withColumn("ws", words(F.col("text")))
     rows = rows.select("doc_id", "th", "text", F.size("ws").cast("long").alias("n_words"), F.array_intersect(strings(vocabulary), F.col("ws")).alias("present"))
     may = reduce(Column.__or__, (has_all(v) for v in phrases.values())) if phrases else F.lit(False)
-    rows = rows.withColumn("n_base", F.when(may, F.regexp_count("text", F.lit(every)).cast("long")).otherwise(F.lit(0).cast("long")))
+    rows = rows.withColumn("n_base", F.when(may, (F.size(F.split("text", every)) - 1).cast("long")).otherwise(F.lit(0).cast("long")))
     has = F.col("n_base") > 0
     enough = [F.size(F.array_intersect(strings(s), F.col("present"))) >= needed(s, threshold) for s in sets.values()]
     rows = rows.select("doc_id", "th", "n_words", "n_base", "present",
