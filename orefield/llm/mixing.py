@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORD, null_last, stage, table
+from .common import null_last, split_words, stage, table
 
 #: A schedule's shape: (time, height) knots from time 0 to 1. Only its form counts; weights set its integral.
 Shape = Sequence[tuple[float, float]]
@@ -84,7 +84,7 @@ def sized(docs: DataFrame) -> DataFrame:
     return docs.withColumns({
         "key": null_last(F.col("source")),
         "order": F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit(""))))),
-        "size": F.coalesce(F.regexp_count("text", F.lit(SPACE_WORD)), F.lit(0)).cast("long"),
+        "size": F.size(split_words(F.coalesce("text", F.lit("")))).cast("long"),
     })
 
 
