@@ -2,7 +2,7 @@
 
 Each form is written once over an arithmetic (Spark columns, or NumPy arrays for bulk work): a corner is the vector from the
 point to it, or back, with the sign of its side on each axis. Columns stay inside generated code; arrays evaluate all cells of a batch
-at once.
+at once. A point on an edge or face where a form has no value is an error, in either arithmetic: no cell's part is left out silently.
 """
 
 from __future__ import annotations
@@ -29,10 +29,33 @@ class Arithmetic:
     log: Callable
     sqrt: Callable
     where: Callable
+    nonzero: Callable
 
 
-COLUMNS = Arithmetic(F.atan2, F.log, F.sqrt, lambda test, a, b: F.when(test, a).otherwise(b))
-ARRAYS = Arithmetic(np.arctan2, np.log, np.sqrt, np.where)
+ON_EDGE = "a point lies on an edge or face of a cell: move the point or the grid"
+
+
+def _checked(good: Any) -> None:
+    if not np.all(good):
+        raise ValueError(ON_EDGE)
+
+
+def _array_log(x: np.ndarray) -> np.ndarray:
+    _checked(x > 0)
+    return np.log(x)
+
+
+def _array_nonzero(x: np.ndarray) -> np.ndarray:
+    _checked(x != 0)
+    return x
+
+
+def _column(good: Column, value: Column) -> Column:
+    return F.when(good, value).otherwise(F.raise_error(F.lit(ON_EDGE)).cast("double"))
+
+
+COLUMNS = Arithmetic(F.atan2, lambda x: _column(x > 0, F.log(x)), F.sqrt, lambda test, a, b: F.when(test, a).otherwise(b), lambda x: _column(x != 0, x))
+ARRAYS = Arithmetic(np.arctan2, _array_log, np.sqrt, np.where, _array_nonzero)
 
 
 def full_turn(m: Arithmetic, angle: Any) -> Any:
@@ -82,7 +105,8 @@ def gradients(m: Arithmetic, xs: tuple, ys: tuple, zs: tuple) -> dict[str, Any]:
 
 
 def magnetic_tensor(m: Arithmetic, xs: tuple, ys: tuple, zs: tuple) -> dict[str, Any]:
-    """The symmetric magnetic tensor, trace 0; sides are edge minus point."""
+    """The symmetric magnetic tensor, trace 0; sides are edge minus point. A point in the plane of an x or y face is an error."""
+    xs, ys = tuple(map(m.nonzero, xs)), tuple(map(m.nonzero, ys))
     terms = {
         "xx": (-1, lambda x, y, z, r: m.atan2(y * z, x * r)),
         "yy": (-1, lambda x, y, z, r: m.atan2(x * z, y * r)),

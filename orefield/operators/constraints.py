@@ -72,8 +72,8 @@ def cross_gradient(cells: DataFrame, lengths: tuple[int, int, int], central: boo
 
     Cells on a first and a last face have none; on a last face differences go backward; central differences go forward on a
     first face. Each difference has a small stencil, and tau = grad m1 x grad m2 is linear in either, so an entry is the other
-    gradient's part times the stencil's weight. field 1 or 2: the columns f_x, f_y, f_z stand for that model's gradient, which
-    then depends on no model.
+    gradient's part times the stencil's weight. field 1 or 2: the columns f_x, f_y, f_z stand for that model's gradient; its entries stay
+    those of the model's own differences, unless it is kept.
     """
     names = list(zip("xyz", "ijk", lengths, strict=True))
     left = F.lit(False)
@@ -82,20 +82,21 @@ def cross_gradient(cells: DataFrame, lengths: tuple[int, int, int], central: boo
         left, right = left | (F.col(index) == 0), right | (F.col(index) == n - 1)
     kind = F.when(left & right, "none").when(right, "backward").when(left, "forward").otherwise("central" if central else "forward")
     schemes = [Scheme.FORWARD, Scheme.BACKWARD] + [Scheme.CENTRAL] * central
-    rows = cells.withColumn("kind", kind)
+    rows, slopes = cells.withColumn("kind", kind), {}
     for m in ("m1", "m2"):
         for a, _, n in names:
             g = F.lit(0.0)
             for s in schemes:
                 g = F.when(F.col("kind") == s.value, gradient(m, a, s, n)).otherwise(g)
-            rows = rows.withColumn(f"{m}_{a}", F.when(F.col("kind") != "none", F.col(f"f_{a}")).otherwise(0.0) if m == f"m{field}" else g)
+            slopes[f"{m}_{a}"] = F.when(F.col("kind") != "none", F.col(f"f_{a}")).otherwise(0.0) if m == f"m{field}" else g
+    rows = rows.withColumns(slopes)  # at once, so that each axis is one window for both models and all schemes
     tau = {a: F.col(f"m1_{p}") * F.col(f"m2_{q}") - F.col(f"m1_{q}") * F.col(f"m2_{p}") for a, (p, q) in zip("xyz", ("yz", "zx", "xy"), strict=True)}
     stride = {"x": 1, "y": lengths[0], "z": lengths[0] * lengths[1]}
     found = []
     for a, (p, q) in zip("xyz", ("yz", "zx", "xy"), strict=True):
         # tau_a = m1_p * m2_q - m1_q * m2_p: the derivative by an m1 on the p stencil is weight * m2_q, and so on
         for problem, along, factor in ((1, p, F.col(f"m2_{q}")), (1, q, -F.col(f"m2_{p}")), (2, q, F.col(f"m1_{p}")), (2, p, -F.col(f"m1_{q}"))):
-            if keep[problem - 1] or problem == field:
+            if keep[problem - 1]:
                 continue
             h = size(along)
             ahead = F.when(F.col("kind") == "forward", 1 / h).when(F.col("kind") == "central", 0.5 / h).otherwise(0.0)
@@ -151,9 +152,9 @@ def bell(c: Cluster, x: Column, y: Column, active: tuple[bool, bool] = (True, Tr
     return F.when(arg < -100.0, math.exp(-100.0)).otherwise(F.exp(arg) / norm)
 
 
-def mixture(clusters: list[Cluster], x: Column, y: Column, active: tuple[bool, bool] = (True, True)) -> tuple[Column, Column, Column]:
-    """The density and its derivatives by both properties (always by the two-property form)."""
-    parts = [(c, F.lit(c.weight) * bell(c, x, y, active)) for c in clusters]
+def mixture(clusters: list[Cluster], x: Column, y: Column, active: tuple[bool, bool] = (True, True), weights: list[Column] | None = None) -> tuple[Column, Column, Column]:
+    """The density and its derivatives by both properties (always by the two-property form). weights: the clusters' own in each cell, in place of the common ones."""
+    parts = [(c, w * bell(c, x, y, active)) for c, w in zip(clusters, weights or [F.lit(c.weight) for c in clusters], strict=True)]
     f, fx, fy = F.lit(0.0), F.lit(0.0), F.lit(0.0)
     for c, g in parts:
         a, b, d = c.sigma1**2, c.sigma2**2, c.sigma12**2
@@ -164,15 +165,16 @@ def mixture(clusters: list[Cluster], x: Column, y: Column, active: tuple[bool, b
     return f, fx, fy
 
 
-def mixture_top(clusters: list[Cluster], active: tuple[bool, bool] = (True, True)) -> Column:
+def mixture_top(clusters: list[Cluster], active: tuple[bool, bool] = (True, True), weights: list[Column] | None = None) -> Column:
     """The largest density at a cluster's centre."""
-    return F.greatest(F.lit(0.0), *(mixture(clusters, F.lit(c.mu1), F.lit(c.mu2), active)[0] for c in clusters), F.lit(0.0))
+    return F.greatest(F.lit(0.0), *(mixture(clusters, F.lit(c.mu1), F.lit(c.mu2), active, weights)[0] for c in clusters), F.lit(0.0))
 
 
-def clustering(rows: DataFrame, clusters: list[Cluster], weights: tuple[float, float], logarithmic: bool = True) -> DataFrame:
-    """rows(cell_id, m1, m2) with density, v1, v2 (entries before column weights) and b1, b2."""
-    f, fx, fy = mixture(clusters, F.col("m1"), F.col("m2"))
-    out = rows.withColumns({"density": f, "fx": fx, "fy": fy, "top": mixture_top(clusters)})
+def clustering(rows: DataFrame, clusters: list[Cluster], weights: tuple[float, float], logarithmic: bool = True, cell_weights: list[Column] | None = None) -> DataFrame:
+    """rows(cell_id, m1, m2) with density, v1, v2 (entries before column weights) and b1, b2. A property of weight 0 is left out of the density."""
+    active = tuple(w != 0 for w in weights)
+    f, fx, fy = mixture(clusters, F.col("m1"), F.col("m2"), active, cell_weights)
+    out = rows.withColumns({"density": f, "fx": fx, "fy": fy, "top": mixture_top(clusters, active, cell_weights)})
     if logarithmic:
         gap = F.when(F.col("density") > 0, F.log("top") - F.log("density")).otherwise(0.0)
         slope = lambda n: F.when(F.col("density") != 0, -F.col(n) / F.col("density")).otherwise(0.0)

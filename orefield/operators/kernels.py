@@ -8,7 +8,7 @@ Cells are sent in blocks of at most BLOCK_CELLS, whose sums are added by observa
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import prism
 from ..functions.geometry import inside
 from ..functions.prism import ARRAYS, COLUMNS, G, MU0, TESLA_TO_NANO
+from ..sources.scratch import scratch, staged
 
 BLOCK_CELLS = 1 << 20
 BOX = ("x1", "x2", "y1", "y2", "z1", "z2")
@@ -90,66 +91,131 @@ def magnetic_lines(tensors: DataFrame, field: tuple[float, float, float], intens
     return tensors.withColumns({n: v * scale for n, v in values.items()})
 
 
-def line_of(kind: str, field: tuple[float, float, float] | None, intensity: float):
-    """The NumPy kernel of one observation over arrays of cells: gravity, gradient or magnetic (along the field)."""
+def void_boxes(x: float, y: float, z: float, cell: dict[str, float], width: float = VOID) -> dict[str, np.ndarray]:
+    """The six boxes that `boxes_around` gives for a point inside a cell, as arrays."""
+    at = {"x": x, "y": y, "z": z}
+    clear = min(abs(at[a] - cell[f"{a}{s}"]) for a in "xyz" for s in (1, 2))
+    w = 0.5 * clear if width > clear else width
+    parts = [dict(cell) for _ in range(6)]
+    for first, axis in ((0, "z"), (2, "x"), (4, "y")):
+        parts[first][f"{axis}2"], parts[first + 1][f"{axis}1"] = at[axis] - w, at[axis] + w
+        for p in parts[first + 2 :]:
+            p[f"{axis}1"], p[f"{axis}2"] = at[axis] - w, at[axis] + w
+    return {c: np.array([p[c] for p in parts]) for c in BOX}
+
+
+def tensor_line(x: float, y: float, z: float, box: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The magnetic tensor of each cell at a point; the cell that holds the point counts without a void around it."""
+    out = prism.magnetic_tensor(ARRAYS, *prism.sides(x, y, z, box.__getitem__, turned=True))
+    held = (box["x1"] < x) & (x < box["x2"]) & (box["y1"] < y) & (y < box["y2"]) & (box["z1"] < z) & (z < box["z2"])
+    for k in np.flatnonzero(held):
+        around = void_boxes(x, y, z, {c: float(box[c][k]) for c in BOX})
+        for name, v in prism.magnetic_tensor(ARRAYS, *prism.sides(x, y, z, around.__getitem__, turned=True)).items():
+            out[name][k] = v.sum()
+    return out
+
+
+def line_of(kind: str, field: tuple[float, float, float] | None, intensity: float, model_parts: int = 1, data_parts: int = 1):
+    """The NumPy kernel of one observation over arrays of cells, as values[data part][model part].
+
+    gravity: vertical attraction. gradient: zz, or xx, yy, zz, xy, yz, zx. magnetic: a susceptibility or a magnetisation (x, y, z), seen along the field or as x, y, z.
+    """
+    rows = (("xx", "xy", "zx"), ("xy", "yy", "yz"), ("zx", "yz", "zz"))
 
     def gravity(x, y, z, box):
-        return prism.attraction_z(ARRAYS, *prism.sides(x, y, z, box.__getitem__)) * G
+        return [[prism.attraction_z(ARRAYS, *prism.sides(x, y, z, box.__getitem__)) * G]]
 
     def gradient(x, y, z, box):
         xs, ys, zs = prism.sides(x, y, z, box.__getitem__)
-        return prism.gradients(ARRAYS, xs, ys, tuple(-v for v in zs))["zz"] * G
+        got = prism.gradients(ARRAYS, xs, ys, tuple(-v for v in zs))
+        return [[got[n] * G] for n in (("zz",) if data_parts == 1 else ("xx", "yy", "zz", "xy", "yz", "zx"))]
 
     def magnetic(x, y, z, box):
-        m = prism.projected(prism.magnetic_tensor(ARRAYS, *prism.sides(x, y, z, box.__getitem__, turned=True)), field)
-        return sum(v * f for v, f in zip(m, field, strict=True)) * (intensity / (4 * math.pi))
+        t = tensor_line(x, y, z, box)
+        if model_parts == 1:
+            m, scale = prism.projected(t, field), intensity / (4 * math.pi)
+            return [[sum(v * f for v, f in zip(m, field, strict=True)) * scale]] if data_parts == 1 else [[v * scale] for v in m]
+        scale = MU0 * TESLA_TO_NANO / (4 * math.pi)
+        if data_parts == 1:
+            return [[sum(t[rows[d][k]] * field[d] for d in range(3)) * scale for k in range(3)]]
+        return [[t[rows[d][k]] * scale for k in range(3)] for d in range(3)]
 
+    allowed = {"gravity": ({1}, {1}), "gradient": ({1}, {1, 6}), "magnetic": ({1, 3}, {1, 3})}[kind]
+    if model_parts not in allowed[0] or data_parts not in allowed[1]:
+        raise ValueError(f"a {kind} kernel has no {model_parts} model and {data_parts} data parts")
     return {"gravity": gravity, "gradient": gradient, "magnetic": magnetic}[kind]
 
 
-def cell_blocks(cells: DataFrame, most: int = BLOCK_CELLS) -> Iterator[pd.DataFrame]:
-    """The cells in blocks of bounded size."""
-    n = cells.count()
-    blocks = max(1, -(-n // most))
+def keyed_blocks(rows: DataFrame, key: str, most: int) -> Iterator[Callable[[], pd.DataFrame]]:
+    """Readers of the rows in the order of their key (0, 1, ...), in blocks of at most `most`. Several blocks are written apart first, so that each is read once."""
+    blocks = max(1, -(-((rows.agg(F.max(key)).first()[0] or 0) + 1) // most))
+    if blocks == 1:
+        yield lambda: rows.toPandas().sort_values(key)
+        return
+    path = scratch(rows.sparkSession, "blocks")
+    rows.withColumn("_block", F.floor(F.col(key) / most)).repartition("_block").write.partitionBy("_block").parquet(path)
     for k in range(blocks):
-        yield (cells if blocks == 1 else cells.where(F.pmod(F.col("cell_id"), F.lit(blocks)) == k)).toPandas()
+        yield lambda k=k: rows.sparkSession.read.schema(rows.schema).parquet(f"{path}/_block={k}").toPandas().sort_values(key)
+
+
+def cell_blocks(cells: DataFrame, most: int = BLOCK_CELLS) -> Iterator[pd.DataFrame]:
+    """The cells in the order of cell_id, one block after another."""
+    for read in keyed_blocks(cells, "cell_id", most):
+        yield read()
 
 
 def forward(obs: DataFrame, cells: DataFrame, value: str, kind: str = "gravity", field: tuple[float, float, float] | None = None, intensity: float = 50000.0, most: int = BLOCK_CELLS) -> DataFrame:
-    """obs_id, d: the data that cells with the column `value` give at each observation."""
+    """obs_id, d: the data that cells with the column `value` give at each observation.
+
+    A grid of several blocks is summed block after block: a block's sums are written out and its broadcast is freed before the next is made.
+    """
     line, spark = line_of(kind, field, intensity), obs.sparkSession
-    sums = None
+    one, sums = (cells.agg(F.max("cell_id")).first()[0] or 0) < most, None
     for held in cell_blocks(cells.select(*BOX, F.col(value).alias("m"), "cell_id"), most):
         arrays = spark.sparkContext.broadcast({c: held[c].to_numpy(np.float64) for c in (*BOX, "m")})
 
         def run(batches: Iterator[pd.DataFrame], arrays=arrays) -> Iterator[pd.DataFrame]:
             box = arrays.value
             for batch in batches:
-                d = [float(line(x, y, z, box) @ box["m"]) for x, y, z in zip(batch.x, batch.y, batch.z, strict=True)]
+                d = [float(line(x, y, z, box)[0][0] @ box["m"]) for x, y, z in zip(batch.x, batch.y, batch.z, strict=True)]
                 yield pd.DataFrame({"obs_id": batch.obs_id, "d": np.array(d, np.float64)})
 
         part = spread(obs.select("obs_id", "x", "y", "z")).mapInPandas(run, "obs_id long, d double")
+        if not one:
+            part = staged(part, "block-sums")
+            arrays.destroy()
         sums = part if sums is None else sums.unionByName(part)
     return sums.groupBy("obs_id").agg(F.sum("d").alias("d")) if sums is not None else obs.select("obs_id", F.lit(0.0).alias("d"))
 
 
-def spread(obs: DataFrame) -> DataFrame:
-    """Observations over all cores: a row is a whole pass over the cells, so few rows are much work."""
-    return obs.repartition(max(obs.sparkSession.sparkContext.defaultParallelism, 1), "obs_id")
+def spread(rows: DataFrame, key: str = "obs_id") -> DataFrame:
+    """Rows over all cores: each is a whole pass over the other side, so few rows are much work."""
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, 1), key)
 
 
-def kernel_rows(obs: DataFrame, cells: DataFrame, kind: str = "gravity", field: tuple[float, float, float] | None = None, intensity: float = 50000.0) -> DataFrame:
-    """Dense kernel lines (obs_id, vals): the values in the order of cell_id. For grids of one block."""
-    line = line_of(kind, field, intensity)
-    held = next(cell_blocks(cells.select(*BOX, "cell_id"), 1 << 62)).sort_values("cell_id")
-    if len(held) > BLOCK_CELLS:
-        raise ValueError("a dense line holds at most BLOCK_CELLS cells")
-    arrays = obs.sparkSession.sparkContext.broadcast({c: held[c].to_numpy(np.float64) for c in BOX})
+def kernel_rows(obs: DataFrame, cells: DataFrame, kind: str = "gravity", field: tuple[float, float, float] | None = None, intensity: float = 50000.0, model_parts: int = 1, data_parts: int = 1, most: int = BLOCK_CELLS) -> DataFrame:
+    """Dense kernel lines (obs_id, part, first, vals): the values by model part, from cell `first` on, in the order of cell_id.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for start in range(0, len(batch), 64):
-                part = batch.iloc[start : start + 64]
-                yield pd.DataFrame({"obs_id": part.obs_id, "vals": [line(x, y, z, arrays.value) for x, y, z in zip(part.x, part.y, part.z, strict=True)]})
+    obs_id counts the lines: an observation's number times data_parts, plus the data part. A grid of one block has one piece a line and part; pieces of larger
+    grids are written out block after block, and each block's broadcast is freed before the next is made.
+    """
+    line, spark = line_of(kind, field, intensity, model_parts, data_parts), obs.sparkSession
+    one, out, first = (cells.agg(F.max("cell_id")).first()[0] or 0) < most, None, 0
+    for held in cell_blocks(cells.select(*BOX, "cell_id"), most):
+        arrays = spark.sparkContext.broadcast({c: held[c].to_numpy(np.float64) for c in BOX})
 
-    return spread(obs.select("obs_id", "x", "y", "z")).mapInPandas(run, "obs_id long, vals array<double>")
+        def run(batches: Iterator[pd.DataFrame], arrays=arrays, first=first) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for start in range(0, len(batch), 64):
+                    rows = []
+                    for o, x, y, z in batch.iloc[start : start + 64][["obs_id", "x", "y", "z"]].itertuples(index=False):
+                        got = line(x, y, z, arrays.value)
+                        rows += [(int(o) * data_parts + d, k, first, v) for d, parts in enumerate(got) for k, v in enumerate(parts)]
+                    yield pd.DataFrame(rows, columns=["obs_id", "part", "first", "vals"])
+
+        part = spread(obs.select("obs_id", "x", "y", "z")).mapInPandas(run, "obs_id long, part int, first long, vals array<double>")
+        if not one:
+            part = staged(part, "kernel-block")
+            arrays.destroy()
+        out, first = part if out is None else out.unionByName(part), first + len(held)
+    return out

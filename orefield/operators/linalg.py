@@ -88,7 +88,7 @@ def local_operator(a: DataFrame, rows: int, columns: int, most: int = 1 << 26) -
 def distributed_operator(lines: DataFrame, rows: int, columns: int, line: str = "obs_id") -> Operator:
     """Kernel lines (line, cols, kept) stay cached on the executors; only vectors travel. Products of the transpose are summed in a
     partition before they are merged, by blocks of columns, so what comes back is one vector a partition at most."""
-    held = lines.select(F.col(line).alias("r"), "cols", "kept").persist()
+    held = lines.select(F.col(line).alias("r"), "cols", "kept").persist()  # lost blocks are made again
     context = lines.sparkSession.sparkContext
 
     def apply(x: np.ndarray) -> np.ndarray:
@@ -101,9 +101,7 @@ def distributed_operator(lines: DataFrame, rows: int, columns: int, line: str =
 
         got = held.mapInPandas(run, "r long, y double").toPandas()
         shared.unpersist()
-        out = np.zeros(rows)
-        out[got.r.to_numpy()] = got.y.to_numpy()
-        return out
+        return np.bincount(got.r.to_numpy(), got.y.to_numpy(), rows)  # a line may come in pieces
 
     def transposed(u: np.ndarray) -> np.ndarray:
         import pandas as pd
@@ -163,7 +161,7 @@ def lsqr(a: Operator, b: np.ndarray, most: int = 100, least_r: float = 1e-13, ga
 
     Ends after `most` rounds, when the estimated residual over |b| is at most least_r, when the root mean square over the first
     data_rows reaches target_rms (if positive), or when a length vanishes. gamma shrinks the solution after each round; the directions
-    and the residual estimate go on as if it did not.
+    and the residual estimate go on as if it did not. A target needs A x, which is kept up from products that the rounds make anyway, unless gamma bends x.
     """
     x = np.zeros(a.columns)
     beta = float(np.linalg.norm(b))
@@ -178,11 +176,14 @@ def lsqr(a: Operator, b: np.ndarray, most: int = 100, least_r: float = 1e-13, ga
     w, start, bar_rho, bar_phi, r = v.copy(), beta, alpha, beta, 1.0
     data_rows = a.rows if data_rows is None else data_rows
     done, reason = 0, "rounds"
+    ax, aw, back = np.zeros(a.rows), np.zeros(a.rows), 0.0
     while done < most and r > least_r:
-        if target_rms > 0 and np.sqrt(np.mean((a.apply(x)[:data_rows] - b[:data_rows]) ** 2)) <= target_rms:
+        if target_rms > 0 and np.sqrt(np.mean(((a.apply(x) if gamma else ax)[:data_rows] - b[:data_rows]) ** 2)) <= target_rms:
             reason = "target"
             break
-        u = a.apply(v) - alpha * u
+        av = a.apply(v)
+        aw = av - back * aw
+        u = av - alpha * u
         beta = float(np.linalg.norm(u))
         if beta:
             u = u / beta
@@ -196,7 +197,9 @@ def lsqr(a: Operator, b: np.ndarray, most: int = 100, least_r: float = 1e-13, ga
             break
         cos, sin = bar_rho / rho, beta / rho
         x = x + (cos * bar_phi / rho) * w
-        w = v - (sin * alpha / rho) * w
+        ax = ax + (cos * bar_phi / rho) * aw
+        back = sin * alpha / rho
+        w = v - back * w
         bar_rho, bar_phi = -cos * alpha, sin * bar_phi
         if gamma:
             x = soft(x, gamma)

@@ -17,7 +17,7 @@ def weighted_rmse(calc: Column, meas: Column, weight: Column) -> Column:
 
 
 def vector_cost(a: Column, b: Column) -> Column:
-    """sqrt(sum (a - b)^2 / sum a^2); 0 for a of size 0."""
+    """sqrt(sum (a - b)^2 / sum a^2); 0 for a of size 0. The vector that counts as the true one comes first."""
     whole = F.sum(F.pow(a, 2))
     return F.when(whole != 0, F.sqrt(F.sum(F.pow(a - b, 2)) / whole)).otherwise(0.0)
 

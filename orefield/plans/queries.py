@@ -386,30 +386,25 @@ for _scheme in Scheme:
 # wavelets and compression
 
 
-def wavelet_sql(kind: wav.Wavelet, inverse: bool = False) -> str:
-    """The transform of a 10 x 10 plane of the model, by the one-dimensional matrix."""
-    m = wav.matrix(10, kind)
-    rows = ", ".join(f"({a if not inverse else b}, {b if not inverse else a}, {float(m[a, b])!r}::DOUBLE)" for a, b in zip(*np.nonzero(np.abs(m) > 1e-14), strict=True))
-    return sql("cell model", f"m(dst, src, coef) AS (VALUES {rows}), a AS (SELECT dst AS i, j, k, sum(coef * density) AS v FROM cell JOIN model USING (cell_id) JOIN m ON i = src WHERE k = 1 GROUP BY 1, 2, 3), b AS (SELECT i, dst AS j, k, sum(coef * v) AS v FROM a JOIN m ON j = src GROUP BY 1, 2, 3)", f"SELECT i::BIGINT AS i, j::BIGINT AS j, {q('v')} AS v FROM b")
-
-
-def wavelet_query(kind: wav.Wavelet, inverse: bool = False) -> Query:
-    def run(spark: SparkSession, d: str) -> DataFrame:
-        rows = cells_with_model(spark, d).where("k = 1").select("i", "j", F.lit(0).cast("long").alias("k"), F.col("density").alias("v"))
-        return wav.transform_rows(rows, "v", (10, 10, 1), kind, inverse).select("i", "j", r(F.col("v")).alias("v"))
-
-    return run
-
+#: Lengths of an axis for which the SQL has the transform's matrix: nx, ny, and nz of the two smaller scales.
+LENGTHS = (2, 10, 20)
 
-query("wavelet_haar", wavelet_sql(wav.Wavelet.HAAR))(wavelet_query(wav.Wavelet.HAAR))
-query("wavelet_haar_inverse", wavelet_sql(wav.Wavelet.HAAR, True))(wavelet_query(wav.Wavelet.HAAR, True))
-query("wavelet_d4", wavelet_sql(wav.Wavelet.D4))(wavelet_query(wav.Wavelet.D4))
-query("wavelet_d4_inverse", wavelet_sql(wav.Wavelet.D4, True))(wavelet_query(wav.Wavelet.D4, True))
 
+def wavelet_sql(kind: wav.Wavelet, inverse: bool = False) -> str:
+    """The transform of the whole grid, an axis at a time, by one-dimensional matrices."""
+    rows = []
+    for n in LENGTHS:
+        m = wav.matrix(n, kind)
+        rows += [f"({n}, {a if not inverse else b}, {b if not inverse else a}, {float(m[a, b])!r}::DOUBLE)" for a, b in zip(*np.nonzero(np.abs(m) > 1e-14), strict=True)]
+    steps, before = [], "(SELECT i, j, k, density AS v FROM cell JOIN model USING (cell_id))"
+    for axis, n in (("i", "10"), ("j", "10"), ("k", "(SELECT max(k) + 1 FROM cell)")):
+        columns = ", ".join("dst AS " + c if c == axis else c for c in "ijk")
+        steps.append(f"t{axis} AS (SELECT {columns}, sum(coef * v) AS v FROM {before} s JOIN m ON {axis} = src AND n = {n} GROUP BY 1, 2, 3)")
+        before = f"t{axis}"
+    return sql("cell model", f"m(n, dst, src, coef) AS (VALUES {', '.join(rows)}), " + ", ".join(steps), f"SELECT i::BIGINT AS i, j::BIGINT AS j, k::BIGINT AS k, {q('v')} AS v FROM tk")
 
-def wavelet_grid_query(kind: wav.Wavelet, inverse: bool = False) -> Query:
-    """All cells along all three axes; the length of z is the table's, so there is no fixed matrix to give as SQL."""
 
+def wavelet_query(kind: wav.Wavelet, inverse: bool = False) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
         got = wav.transform_rows(cells_with_model(spark, d), "density", dims(spark, d), kind, inverse)
         return got.select("i", "j", "k", r(F.col("density")).alias("v"))
@@ -418,8 +413,8 @@ def wavelet_grid_query(kind: wav.Wavelet, inverse: bool = False) -> Query:
 
 
 for _kind in (wav.Wavelet.HAAR, wav.Wavelet.D4):
-    query(f"wavelet_{_kind.name.lower()}_grid")(wavelet_grid_query(_kind))
-    query(f"wavelet_{_kind.name.lower()}_grid_inverse")(wavelet_grid_query(_kind, True))
+    query(f"wavelet_{_kind.name.lower()}", wavelet_sql(_kind))(wavelet_query(_kind))
+    query(f"wavelet_{_kind.name.lower()}_inverse", wavelet_sql(_kind, True))(wavelet_query(_kind, True))
 
 
 @query("wavelet_round_trip", sql("cell model", "", f"SELECT cell_id, {q('density')} AS v FROM cell JOIN model USING (cell_id)"))
@@ -475,6 +470,28 @@ def load_balance(spark: SparkSession, d: str) -> DataFrame:
     return compress.balanced(counted(spark, d), 4)
 
 
+def thirds(n: int) -> list[int]:
+    """First columns of the second and third part."""
+    return [n // 3, 2 * n // 3]
+
+
+_PART = "(CASE WHEN cell_id < (SELECT count(*) // 3 FROM cell) THEN 0 WHEN cell_id < (SELECT 2 * count(*) // 3 FROM cell) THEN 1 ELSE 2 END)"
+_FIRST = "(CASE part WHEN 0 THEN 0 WHEN 1 THEN (SELECT count(*) // 3 FROM cell) ELSE (SELECT 2 * count(*) // 3 FROM cell) END)"
+
+
+@query("column_parts", sql("cell", "", f"SELECT cell_id, {_PART}::INTEGER AS part FROM cell"))
+def column_parts(spark: SparkSession, d: str) -> DataFrame:
+    return compress.parts_of(S.cells(spark, d).select("cell_id"), thirds(math.prod(dims(spark, d))))
+
+
+@query("kernel_parts", sql("cell obs sg", KERNEL, f"SELECT obs_id, part, count(*) AS nnz, sum(cell_id - {_FIRST})::BIGINT AS cells FROM (SELECT obs_id, cell_id, {_PART}::INTEGER AS part FROM kp WHERE stays) GROUP BY 1, 2"))
+def kernel_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Kernel lines cut by parts of their columns, each counting columns from its first."""
+    n = math.prod(dims(spark, d))
+    got = compress.repartitioned_kernel(compress.compressed(kernel_lines(spark, d), n, RATE), thirds(n))
+    return got.select("obs_id", "part", F.size("cols").cast("long").alias("nnz"), F.aggregate("cols", F.lit(0).cast("long"), lambda a, c: a + c).alias("cells"))
+
+
 @query("even_split", sql("obs", "", "SELECT obs_id, (ntile(7) OVER (ORDER BY obs_id) - 1)::INTEGER AS part FROM obs"))
 def even_split(spark: SparkSession, d: str) -> DataFrame:
     return compress.even_parts(S.observations(spark, d).select("obs_id"), "obs_id", 7)
@@ -553,21 +570,29 @@ def matrix_faults(spark: SparkSession, d: str) -> DataFrame:
     return linalg.faults(S.sparse(spark, d), 10000, 1500)
 
 
-@query("stacked_blocks", sql("sparse", "", "SELECT row_id, col_id, v FROM (SELECT row_id, col_id, v FROM sparse WHERE row_id < 50 UNION ALL SELECT row_id + 100, col_id, 2 * v FROM sparse WHERE row_id < 50)"))
+@query("stacked_blocks", sql("sparse", "", f"SELECT row_id, col_id, {q('v', 8)} AS v FROM (SELECT row_id, col_id, v FROM sparse UNION ALL SELECT row_id + (SELECT max(row_id) + 1 FROM sparse), col_id, 2 * v FROM sparse)"))
 def stacked_blocks(spark: SparkSession, d: str) -> DataFrame:
-    a = S.sparse(spark, d).where("row_id < 50")
-    return linalg.stacked([(a, 100), (a.withColumn("v", 2 * F.col("v")), 50)])
-
-
-@query("stacked_blocks_whole", sql("sparse", "", f"SELECT row_id, col_id, {q('v', 8)} AS v FROM (SELECT row_id, col_id, v FROM sparse UNION ALL SELECT row_id + (SELECT max(row_id) + 1 FROM sparse), col_id, 2 * v FROM sparse)"))
-def stacked_blocks_whole(spark: SparkSession, d: str) -> DataFrame:
     """The whole matrix above its double."""
     a = S.sparse(spark, d)
     n = a.agg(F.coalesce(F.max("row_id") + 1, F.lit(0))).first()[0]
     return linalg.stacked([(a, n), (a.withColumn("v", 2 * F.col("v")), n)]).select("row_id", "col_id", r(F.col("v"), 8).alias("v"))
 
 
-@query("lsqr_regression", f"SELECT {q('regr_intercept(y, x)', 4)} AS intercept, {q('regr_slope(y, x)', 4)} AS slope FROM (SELECT l_extendedprice::DOUBLE / 10000 AS y, l_quantity::DOUBLE / 10 AS x FROM lineitem)")
+REGRESSION = f"SELECT {q('regr_intercept(y, x)', 4)} AS intercept, {q('regr_slope(y, x)', 4)} AS slope FROM (SELECT l_extendedprice::DOUBLE / 10000 AS y, l_quantity::DOUBLE / 10 AS x FROM lineitem)"
+
+
+@query("lsqr_lines", REGRESSION)
+def lsqr_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The same fit with every row of the table as a matrix line on the executors."""
+    rows = S.table(spark, d, "lineitem").select("l_orderkey", (F.col("l_extendedprice").cast("double") / 10000).alias("y"), (F.col("l_quantity").cast("double") / 10).alias("x"))
+    rows = compress.numbered(rows, "l_orderkey")
+    y = rows.select("rank", "y").toPandas().sort_values("rank").y.to_numpy(np.float64)
+    lines = rows.select(F.col("rank").alias("obs_id"), F.array(F.lit(0), F.lit(1)).alias("cols"), F.array(F.lit(1.0), F.col("x")).cast("array<float>").alias("kept"))
+    got = linalg.lsqr(linalg.distributed_operator(lines, y.size, 2), y, 20, 1e-15).x
+    return spark.createDataFrame([(float(got[0]), float(got[1]))], "intercept double, slope double").select(r(F.col("intercept"), 4).alias("intercept"), r(F.col("slope"), 4).alias("slope"))
+
+
+@query("lsqr_regression", REGRESSION)
 def lsqr_regression(spark: SparkSession, d: str) -> DataFrame:
     """The normal equations are summed on the executors; the solver sees two columns."""
     rows = S.table(spark, d, "lineitem").select((F.col("l_extendedprice").cast("double") / 10000).alias("y"), (F.col("l_quantity").cast("double") / 10).alias("x"))
@@ -643,11 +668,11 @@ def admm_step(spark: SparkSession, d: str) -> DataFrame:
     return constraints.admm_step(rows).select("cell_id", *(r(F.col(c)).alias(c) for c in ("z", "u", "x0")))
 
 
-@query("admm_relative_cost", sql("model", ADMM, f"SELECT {q('sqrt(sum(pow(density - z, 2)) / sum(pow(density, 2)))', 9)} AS cost FROM az"))
+@query("admm_relative_cost", sql("model", ADMM, f"SELECT {q('sqrt(sum(pow(density - z, 2)) / sum(pow(z, 2)))', 9)} AS cost FROM az"))
 def admm_relative_cost(spark: SparkSession, d: str) -> DataFrame:
     m = S.model(spark, d)
     rows = m.join(text.global_bounds(m, BOUNDS), "cell_id").withColumns({"x": F.col("density"), "u": F.col("suscept") * 100})
-    return constraints.admm_step(rows).agg(r(metrics.vector_cost(F.col("x"), F.col("z")), 9).alias("cost"))
+    return constraints.admm_step(rows).agg(r(metrics.vector_cost(F.col("z"), F.col("x")), 9).alias("cost"))
 
 
 def two_models(spark: SparkSession, d: str) -> DataFrame:
@@ -684,17 +709,6 @@ def cross_gradient_vector_field(spark: SparkSession, d: str) -> DataFrame:
     return constraints.cross_gradient(rows, dims(spark, d), field=1).select("cell_id", *(r(F.col(f"tau_{a}"), 8).alias(f"tau_{a}") for a in "xyz"))
 
 
-# for one axis and the first model: d tau_x = m2z * (difference along y) - m2y * (difference along z)
-_ey, _ez = "(CASE kind WHEN 'backward' THEN -1 ELSE 1 END) / abs(y2 - y1)", "(CASE kind WHEN 'backward' THEN -1 ELSE 1 END) / abs(z2 - z1)"
-CROSS_X = ", xe AS (SELECT cell_id, cell_id + CASE kind WHEN 'backward' THEN -10 ELSE 10 END AS col_id, m2z * " + _ey + " AS v FROM tau WHERE kind <> 'none' UNION ALL SELECT cell_id, cell_id + CASE kind WHEN 'backward' THEN -100 ELSE 100 END, -m2y * " + _ez + " FROM tau WHERE kind <> 'none' UNION ALL SELECT cell_id, cell_id, -(m2z * " + _ey + " - m2y * " + _ez + ") FROM tau WHERE kind <> 'none')"
-
-
-@query("cross_gradient_entries", sql("cell model", tau_sql(False) + CROSS_X, f"SELECT cell_id, col_id, {q('sum(v) * 3.0::DOUBLE', 8)} AS v FROM xe GROUP BY 1, 2 HAVING sum(v) <> 0"))
-def cross_gradient_entries(spark: SparkSession, d: str) -> DataFrame:
-    got = constraints.cross_gradient_entries(constraints.cross_gradient(two_models(spark, d), dims(spark, d)), 3.0)
-    return got.where("axis = 'x' and problem = 1").select("cell_id", "col_id", r(F.col("v"), 8).alias("v"))
-
-
 def cross_all_sql() -> str:
     """Both models' derivatives of the three parts: tau_a = m1p * m2q - m1q * m2p on forward or backward differences."""
     parts = []
@@ -706,12 +720,19 @@ def cross_all_sql() -> str:
     return ", ce AS (" + " UNION ALL ".join(parts) + ")"
 
 
-@query("cross_gradient_entries_all", sql("cell model", tau_sql(False) + cross_all_sql(), f"SELECT cell_id, axis, problem, col_id, {q('sum(v) * 3.0::DOUBLE', 8)} AS v FROM ce GROUP BY 1, 2, 3, 4 HAVING sum(v) <> 0"))
-def cross_gradient_entries_all(spark: SparkSession, d: str) -> DataFrame:
+@query("cross_gradient_entries", sql("cell model", tau_sql(False) + cross_all_sql(), f"SELECT cell_id, axis, problem, col_id, {q('sum(v) * 3.0::DOUBLE', 8)} AS v FROM ce GROUP BY 1, 2, 3, 4 HAVING sum(v) <> 0"))
+def cross_gradient_entries(spark: SparkSession, d: str) -> DataFrame:
     got = constraints.cross_gradient_entries(constraints.cross_gradient(two_models(spark, d), dims(spark, d)), 3.0)
     return got.select("cell_id", "axis", "problem", "col_id", r(F.col("v"), 8).alias("v"))
 
 
+@query("cross_gradient_kept", sql("cell model", tau_sql(False) + cross_all_sql(), f"SELECT cell_id, axis, problem, col_id, {q('sum(v) * 3.0::DOUBLE', 8)} AS v FROM ce WHERE problem = 2 GROUP BY 1, 2, 3, 4 HAVING sum(v) <> 0"))
+def cross_gradient_kept(spark: SparkSession, d: str) -> DataFrame:
+    """The first model is kept: no derivatives by it."""
+    got = constraints.cross_gradient_entries(constraints.cross_gradient(two_models(spark, d), dims(spark, d), keep=(True, False)), 3.0)
+    return got.select("cell_id", "axis", "problem", "col_id", r(F.col("v"), 8).alias("v"))
+
+
 def bell_sql(c: Cluster, x: str, y: str) -> str:
     a, b, e = (repr(v) + "::DOUBLE" for v in (c.sigma1**2, c.sigma2**2, c.sigma12**2))
     dx, dy = f"({x} - {c.mu1!r}::DOUBLE)", f"({y} - {c.mu2!r}::DOUBLE)"
@@ -749,6 +770,27 @@ def clustering_normal(spark: SparkSession, d: str) -> DataFrame:
     return got.select("cell_id", r(F.col("v1") * 1e3, 8).alias("v1"), r(F.col("v2") * 1e3, 8).alias("v2"), r(F.col("b1") * 1e3, 8).alias("b1"))
 
 
+query("clustering_cost", sql("model", MIX, f"SELECT {q('sum(pow((ln(top) - ln(f)) * 2, 2))', 3)} AS cost1, {q('sum(pow((ln(top) - ln(f)) * 3, 2))', 3)} AS cost2 FROM mx"))(
+    lambda spark, d: constraints.clustering(mixture_rows(spark, d), CLUSTERS, (2.0, 3.0)).agg(*(r(F.sum(F.col(f"b{k}") * F.col(f"b{k}")), 3).alias(f"cost{k}") for k in (1, 2))))
+
+_own = ["(0.2::DOUBLE + 0.1::DOUBLE * (cell_id % 7))", "(0.9::DOUBLE - 0.1::DOUBLE * (cell_id % 7))"]
+
+
+def cell_mixture_sql() -> str:
+    """Each cell has its clusters' weights, and so its own largest density."""
+    unit = [Cluster(1.0, c.mu1, c.sigma1, c.mu2, c.sigma2, c.sigma12) for c in CLUSTERS]
+    f = " + ".join(f"{w} * {bell_sql(c, 'm1', 'm2')}" for w, c in zip(_own, unit, strict=True))
+    top = "greatest(" + ", ".join("(" + " + ".join(f"{w} * {bell_sql(c, f'{at.mu1!r}::DOUBLE', f'{at.mu2!r}::DOUBLE')}" for w, c in zip(_own, unit, strict=True)) + ")" for at in CLUSTERS) + ")"
+    return sql("model", f"mm AS (SELECT cell_id, density AS m1, suscept * 1000 AS m2 FROM model), mx AS (SELECT cell_id, {f} AS f, {top} AS top FROM mm)", f"SELECT cell_id, {q('f * 1e3', 8)} AS density, {q('top * 1e3', 8)} AS top, {q('-(ln(top) - ln(f)) * 2')} AS b1 FROM mx")
+
+
+@query("clustering_cell_weights", cell_mixture_sql())
+def clustering_cell_weights(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("cell_id") % 7
+    got = constraints.clustering(mixture_rows(spark, d), CLUSTERS, (2.0, 3.0), cell_weights=[0.2 + 0.1 * k, 0.9 - 0.1 * k])
+    return got.select("cell_id", r(F.col("density") * 1e3, 8).alias("density"), r(F.col("top") * 1e3, 8).alias("top"), r(F.col("b1")).alias("b1"))
+
+
 _one = " + ".join(f"{c.weight!r}::DOUBLE * (CASE WHEN -(m1 - {c.mu1!r}::DOUBLE) * (m1 - {c.mu1!r}::DOUBLE) / (2 * {c.sigma1**2!r}::DOUBLE) < -100 THEN exp(-100) ELSE exp(-(m1 - {c.mu1!r}::DOUBLE) * (m1 - {c.mu1!r}::DOUBLE) / (2 * {c.sigma1**2!r}::DOUBLE)) / sqrt(2 * pi() * {c.sigma1**2!r}::DOUBLE) END)" for c in CLUSTERS)
 
 
@@ -825,22 +867,34 @@ def scan_vector_field(spark: SparkSession, d: str) -> DataFrame:
     return text.table(spark, path, ["wx", "wy", "wz"]).select("row", *(r(F.col(c)).alias(c) for c in ("wx", "wy", "wz")))
 
 
-@query("scan_mixture", "SELECT n::BIGINT AS row, w / 3 AS weight, mu1, s1 FROM (VALUES (0, 2.0::DOUBLE, 100.0::DOUBLE, 60.0::DOUBLE), (1, 1.0::DOUBLE, 400.0::DOUBLE, 80.0::DOUBLE)) t(n, w, mu1, s1)")
+@query("scan_mixture", f"SELECT (row_number() OVER (ORDER BY n_nationkey) - 1)::BIGINT AS row, {q('(1 + n_nationkey)::DOUBLE / (SELECT sum(1 + n_nationkey) FROM nation)', 9)} AS weight, (10 * n_nationkey)::DOUBLE AS mu1, (5 + n_nationkey)::DOUBLE AS s1, n_regionkey::DOUBLE AS mu2, (1 + n_regionkey)::DOUBLE AS s2, 0.5::DOUBLE AS s12 FROM nation")
 def scan_mixture(spark: SparkSession, d: str) -> DataFrame:
-    path = scratch(spark, "mixture")
-    text.write(spark.createDataFrame([(0, 2.0, 100.0, 60.0), (1, 1.0, 400.0, 80.0)], "n int, w double, mu1 double, s1 double"), path, "n", [F.col("w"), F.col("mu1"), F.col("s1")])
-    rows = text.table(spark, path, ["weight", "mu1", "s1"])
+    path, n, g = scratch(spark, "mixture"), F.col("n_nationkey").cast("double"), F.col("n_regionkey").cast("double")
+    text.write(S.table(spark, d, "nation"), path, "n_nationkey", [1 + n, 10 * n, 5 + n, g, 1 + g, F.lit(0.5)])
+    rows = text.table(spark, path, ["weight", "mu1", "s1", "mu2", "s2", "s12"])
     whole = rows.agg(F.sum("weight").alias("whole"))
-    return rows.crossJoin(F.broadcast(whole)).select("row", (F.col("weight") / F.col("whole")).alias("weight"), "mu1", "s1")
+    return rows.crossJoin(F.broadcast(whole)).select("row", r(F.col("weight") / F.col("whole"), 9).alias("weight"), "mu1", "s1", "mu2", "s2", "s12")
 
 
-@query("kernel_store", sql("cell obs sg", KERNEL, "SELECT obs_id, count(*)::INTEGER AS nnz FROM kp WHERE stays GROUP BY 1"))
+@query("kernel_store", sql("cell obs model sg", KERNEL + ", " + "dw AS (SELECT s_suppkey::BIGINT AS obs_id, 1 / (0.01::DOUBLE + abs(s_acctbal::DOUBLE) / 1e6::DOUBLE) AS weight FROM supplier)", f"SELECT obs_id, count(*)::INTEGER AS nnz, sum(cell_id)::BIGINT AS cells, {q('sum(v * weight * 0.5::DOUBLE) / sum(abs(v)) / any_value(weight)', 5)} AS signed, {q('ln(sum(abs(v) * weight * 0.5::DOUBLE))', 5)} AS total FROM kp JOIN dw USING (obs_id) WHERE stays GROUP BY 1"))
 def kernel_store(spark: SparkSession, d: str) -> DataFrame:
+    """Columns and values of the lines as they are read again, times problem and data weights, in single precision."""
     n, path = dims(spark, d), scratch(spark, "kernel")
     about = {"dims": list(n), "data": S.observations(spark, d).count(), "rate": RATE}
     files.write_kernel(compress.compressed(kernel_lines(spark, d), math.prod(n), RATE), column_weights(spark, d), path, "grav", about)
     lines, _ = files.read_kernel(spark, path, "grav", about)
-    return files.weighted_lines(lines, data_rows(spark, d).select("obs_id", "weight"), 0.5).select("obs_id", F.size("kept").alias("nnz"))
+    weight = data_rows(spark, d).select("obs_id", "weight")
+    got = files.weighted_lines(lines, weight, 0.5).join(weight, "obs_id")
+    sums = lambda f: F.aggregate("kept", F.lit(0.0), lambda a, x: a + f(x.cast("double")))
+    return got.select("obs_id", F.size("kept").alias("nnz"), F.aggregate("cols", F.lit(0).cast("long"), lambda a, c: a + c).alias("cells"), r(sums(lambda x: x) / sums(F.abs) * 0.5, 5).alias("signed"), r(F.log(sums(F.abs)), 5).alias("total"))
+
+
+@query("kernel_counts", sql("cell obs sg", COUNTS, "SELECT cell_id, nnz FROM ct"))
+def kernel_counts(spark: SparkSession, d: str) -> DataFrame:
+    """How many lines keep each column, as it is stored beside a kernel."""
+    n, path = dims(spark, d), scratch(spark, "kernel")
+    files.write_kernel(compress.compressed(kernel_lines(spark, d), math.prod(n), RATE), column_weights(spark, d), path, "grav", {})
+    return files.read_counts(spark, path, "grav")
 
 
 @query("read_parameters")

@@ -32,7 +32,7 @@ def test_wavelets_of_the_whole_grid(spark, deep, kind):
     for axis, n in enumerate(x.shape):
         there = np.moveaxis(lift(np.moveaxis(there, axis, 0).reshape(n, -1), kind).reshape(n, *np.delete(x.shape, axis)), 0, axis)
         back = np.moveaxis(np.linalg.solve(lift(np.eye(n), kind), np.moveaxis(back, axis, 0).reshape(n, -1)).reshape(n, *np.delete(x.shape, axis)), 0, axis)
-    for name, want in ((f"wavelet_{kind.name.lower()}_grid", there), (f"wavelet_{kind.name.lower()}_grid_inverse", back)):
+    for name, want in ((f"wavelet_{kind.name.lower()}", there), (f"wavelet_{kind.name.lower()}_inverse", back)):
         rows = QUERIES[name](spark, deep).toPandas()
         assert len(rows) == 100 * LAYERS
         got = np.full(x.shape, np.nan)
@@ -42,7 +42,7 @@ def test_wavelets_of_the_whole_grid(spark, deep, kind):
 
 def test_all_rows_are_stacked(spark, deep):
     a = S.sparse(spark, deep).toPandas()
-    got = QUERIES["stacked_blocks_whole"](spark, deep).toPandas()
+    got = QUERIES["stacked_blocks"](spark, deep).toPandas()
     n = a.row_id.max() + 1
     assert a.row_id.max() >= 50
     want = {(x.row_id, x.col_id): x.v for x in a.itertuples()} | {(x.row_id + n, x.col_id): 2 * x.v for x in a.itertuples()}
@@ -85,8 +85,8 @@ def test_all_blocks_of_cross_gradient_entries(spark, deep):
     """Six blocks, and their values the SQL's on a grid that has inner cells; DuckDB reads the folders by a pattern."""
     con = duckdb.connect()
     con.execute(f"create view part as select * from '{deep}/part.parquet/*.parquet'")
-    want = con.execute(queries.ORACLE_SQL["cross_gradient_entries_all"]).df()
-    got = QUERIES["cross_gradient_entries_all"](spark, deep).toPandas()
+    want = con.execute(queries.ORACLE_SQL["cross_gradient_entries"]).df()
+    got = QUERIES["cross_gradient_entries"](spark, deep).toPandas()
     key = ["cell_id", "axis", "problem", "col_id"]
     assert len(got.groupby(["axis", "problem"])) == 6
     assert got.groupby(["axis", "problem"]).size().min() > 0
