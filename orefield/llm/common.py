@@ -107,3 +107,40 @@ def maybe_in(rows: DataFrame, keys: DataFrame, name: str, bits: int = 27) -> Dat
     bit = F.call_function("shiftright", byte, F.pmod(spot, F.lit(8)).cast("int")).bitwiseAND(F.lit(1))
     both = rows.join(F.broadcast(held), F.bitmap_bucket_number(at) == F.col("_k"), "left")
     return both.withColumn("_maybe", F.coalesce(bit == 1, F.lit(False))).drop("_k", "_bits")
+
+
+def spot_of(key: Column, bits: int) -> Column:
+    """The place of a key in a bitmap of 2**bits bits; Spark numbers bits from 1."""
+    return F.pmod(F.xxhash64(key), F.lit(1 << bits)) + 1
+
+
+def bitmap_file(spots: DataFrame, bits: int, name: str) -> str:
+    """Writes the bitmap of the column `spot` (1 to 2**bits), 2**bits / 8 bytes whatever the number of rows; returns its path. Slices are made on the executors and
+    pass the driver one at a time."""
+    made = spots.groupBy(F.bitmap_bucket_number("spot").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("bits"))
+    held = stage(made, name)
+    path = new_path(spots.sparkSession, f"{name}-file")
+    fs, file = open_store(path)
+    with fs.open_output_stream(file) as out:
+        at = 1
+        for row in held.orderBy("k").toLocalIterator():
+            out.write(bytes(4096) * (row.k - at) + bytes(row.bits))
+            at = row.k + 1
+        out.write(bytes(4096) * ((1 << bits) // 32768 + 1 - at))
+    unstage(held)
+    return path
+
+
+def read_bitmap(path: str):
+    """A bitmap file's bytes, on an executor."""
+    import numpy as np
+
+    fs, file = open_store(path)
+    with fs.open_input_stream(file) as source:
+        return np.frombuffer(source.read(), np.uint8)
+
+
+def marked(bitmap, spots):
+    """Whether each spot (from 1) is in the bitmap."""
+    at = spots - 1
+    return (bitmap[at >> 3] >> (at & 7).astype("u1") & 1).astype(bool)

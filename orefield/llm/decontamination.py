@@ -1,13 +1,13 @@
 """Benchmark decontamination: every training shard gets an FM-index, in which the benchmark's phrases are searched backwards.
 
 A phrase is a window of `width` consecutive words of a benchmark item, or all of a shorter item. A shard is a run of documents
-with SHARD_WORDS words or one document. Its index covers what can hold a phrase: words that the benchmark does not have
-become one separator, and between separators only runs at least as long as the shortest phrase stay. That loses no place. All
-phrases are searched together, a symbol a step, by wavelet-matrix ranks; places come from sampled suffix positions; spans
+with SHARD_WORDS words or one document. It is indexed once. Its index covers what can hold a phrase: words that the benchmark does not have (by
+a bitmap of fixed size, which may let others stay) become one separator, and between separators only runs at least as long as the shortest phrase stay. That loses no place. All
+phrases of a block are searched together, a symbol a step, by wavelet-matrix ranks; places come from sampled suffix positions; spans
 of one document are merged by a running sum of starts and ends.
 
-The benchmark is cut into blocks of bounded size, which tasks read from the shared folder one after another; neither the driver nor
-a task holds more than one block. Documents are read where they lie, without an exchange, in one pass.
+The benchmark is cut into blocks of bounded size on the executors. Tasks read them from the shared folder, hold BLOCKS_HELD of them at most, and search each in the
+same index; the driver sees their names. Documents are read where they lie, without an exchange, in one pass.
 
 Defined cases: null text has no words; items without words match nothing; items of one id are one item, a null id being the empty one;
 repeated rows get equal results; an empty table gives no rows; other columns are passed on where documents are returned.
@@ -17,19 +17,23 @@ from __future__ import annotations
 
 import hashlib
 import pickle
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import lean, new_path, open_store, table
+from .common import bitmap_file, lean, marked, new_path, open_store, read_bitmap, stage, table
 from .fmindex import FMIndex
+from .substrings import word_hash
 
 WIDTH = 10
 SHARD_WORDS = 1 << 19
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES, BLOCKS_HELD = 2 << 20, 4
+WORD_BITS = 26
 #: Bytes of a word stay, A-Z become lower case, all others become spaces.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -39,84 +43,116 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Phrases:
-    """One block of the benchmark: word ids, and its distinct phrases by length with the items of each."""
+    """One block of the benchmark: its words, and its distinct phrases by length, as rows of the words' numbers, with the items of each."""
 
     def __init__(self, items: list[tuple[str, list[bytes]]], width: int) -> None:
-        self.ids: dict[bytes, int] = {}
+        ids: dict[bytes, int] = {}
         seen: dict[tuple[int, ...], set[str]] = {}
         for item, words in items:
-            row = [self.ids.setdefault(w, len(self.ids) + 1) for w in words]
+            row = [ids.setdefault(w, len(ids)) for w in words]
             for k in range(max(1, len(row) - width + 1)) if row else ():
                 seen.setdefault(tuple(row[k : k + width]), set()).add(item)
+        self.words = list(ids)
         self.names = sorted({x for held in seen.values() for x in held})
         at = {x: k for k, x in enumerate(self.names)}
-        self.by_length: dict[int, tuple[np.ndarray, list[list[int]]]] = {}
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for size in sorted({len(p) for p in seen}):
             own = [p for p in seen if len(p) == size]
-            self.by_length[size] = np.array(own, np.int64), [sorted(at[x] for x in seen[p]) for p in own]
-
-    def find(self, docs: list[list[bytes]]) -> tuple[list[np.ndarray], list[set[str]]]:
-        """For each document which words are hit, and the items found."""
-        sizes = np.array([len(d) for d in docs], np.int64)
-        starts = np.concatenate([[0], np.cumsum(sizes + 1)])  # a 0 after each document
-        s = np.zeros(int(starts[-1]), np.int64)
-        for d, at in zip(docs, starts[:-1], strict=True):
+            ends = np.cumsum([len(seen[p]) for p in own])
+            self.by_length[size] = np.array(own, np.int32), np.concatenate([[0], ends]), np.array([at[x] for p in own for x in sorted(seen[p])], np.int32)
+
+
+def word_spots(words: list[bytes]) -> np.ndarray:
+    """Places of words in the bitmap of the benchmark's words, from 1."""
+    return (np.fromiter(map(word_hash, words), np.uint64, len(words)) % np.uint64(1 << WORD_BITS)).astype(np.int64) + 1
+
+
+class Shard:
+    """The one index of a run of documents, in which the phrases of every block are searched."""
+
+    def __init__(self, docs: list[list[bytes]], known: np.ndarray, shortest: int) -> None:
+        self.sizes = np.array([len(d) for d in docs], np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes + 1)])  # a 0 after each document
+        distinct = list(set().union(*docs))
+        some = np.flatnonzero(marked(known, word_spots(distinct))) if distinct else ()
+        self.ids = {distinct[k]: n + 1 for n, k in enumerate(some)}
+        self.marks = np.zeros(int(self.starts[-1]) + 1, np.int64)
+        self.items: list[set[str]] = [set() for _ in docs]
+        s = np.zeros(int(self.starts[-1]), np.int64)
+        for d, at in zip(docs, self.starts[:-1], strict=True):
             s[at : at + len(d)] = np.fromiter((self.ids.get(w, 0) for w in d), np.int64, len(d))
-        items: list[set[str]] = [set() for _ in docs]
-        marks = np.zeros(s.size + 1, np.int64)
-        if self.by_length:
-            self.mark(s, starts, marks, items)
-        hit = np.cumsum(marks[:-1]) > 0
-        return [hit[at : at + n] for at, n in zip(starts[:-1], sizes, strict=True)], items
-
-    def mark(self, s: np.ndarray, starts: np.ndarray, marks: np.ndarray, items: list[set[str]]) -> None:
         inside = np.concatenate([[0], (s > 0).astype(np.int8), [0]])
         begin, end = np.flatnonzero(np.diff(inside) == 1), np.flatnonzero(np.diff(inside) == -1)
-        long = end - begin >= min(self.by_length)
+        long = end - begin >= shortest
         begin, end = begin[long], end[long]
-        if not begin.size:
+        self.index = None
+        if begin.size:
+            # the runs, each with the 0 that ends it: another word, or a document's end
+            sizes = end - begin + 1
+            self.origin = np.repeat(begin - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
+            self.index = FMIndex(s[self.origin], len(self.ids))
+
+    def search(self, block: Phrases) -> None:
+        """Marks the places of the block's phrases and notes their items."""
+        if self.index is None:
             return
-        # the runs, each with the 0 that ends it
-        sizes = end - begin + 1
-        origin = np.repeat(begin - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
-        kept = s[origin]  # every run ends before a 0: another word, or a document's end
-        index = FMIndex(kept, len(self.ids))
-        for size, (patterns, owners) in self.by_length.items():
-            lo, hi = index.search(patterns)
+        number = np.fromiter((self.ids.get(w, 0) for w in block.words), np.int64, len(block.words))
+        for size, (patterns, edges, owners) in block.by_length.items():
+            wanted = number[patterns]
+            which = np.flatnonzero((wanted > 0).all(axis=1))
+            lo, hi = self.index.search(wanted[which])
             count = hi - lo
             if not count.any():
                 continue
-            phrase = np.repeat(np.arange(count.size), count)
+            phrase = np.repeat(which, count)
             rows = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)
-            at = origin[index.locate(rows)]
-            np.add.at(marks, at, 1)
-            np.add.at(marks, at + size, -1)
-            doc = np.searchsorted(starts, at, "right") - 1
+            at = self.origin[self.index.locate(rows)]
+            np.add.at(self.marks, at, 1)
+            np.add.at(self.marks, at + size, -1)
+            doc = np.searchsorted(self.starts, at, "right") - 1
             for d, p in np.unique(np.column_stack([doc, phrase]), axis=0).tolist():
-                items[d].update(self.names[x] for x in owners[p])
+                self.items[d].update(block.names[x] for x in owners[edges[p] : edges[p + 1]])
+
+    def hits(self) -> list[np.ndarray]:
+        """For each document which words are hit."""
+        hit = np.cumsum(self.marks[:-1]) > 0
+        return [hit[at : at + n] for at, n in zip(self.starts[:-1], self.sizes, strict=True)]
 
 
-def phrase_blocks(benchmark: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> tuple[str, int]:
-    """Writes the benchmark's blocks; returns their folder and number. The driver holds one block."""
+def phrase_blocks(benchmark: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> tuple[str, list[str], int, str | None]:
+    """Writes the benchmark's blocks on the executors; returns their folder and names, the length of the shortest phrase, and the bitmap of their words."""
     folder = new_path(benchmark.sparkSession, "phrases")
     fs, path = open_store(folder)
     fs.create_dir(path)
-    held, size, n = [], 0, 0
 
-    def put() -> None:
-        with fs.open_output_stream(f"{path}/{n}") as out:
-            out.write(pickle.dumps(Phrases(held, width)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = open_store(folder)
+        held, size = [], 0
+
+        def put() -> Iterator[pa.RecordBatch]:
+            block = Phrases(held, width)
+            if block.by_length:
+                name = uuid.uuid4().hex
+                with store.open_output_stream(f"{root}/{name}") as out:
+                    out.write(pickle.dumps(block))
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([min(block.by_length)], pa.int64()), pa.array([np.unique(word_spots(block.words)).tolist()], pa.list_(pa.int64()))], names=["name", "shortest", "spots"])
 
-    for row in benchmark.select("item_id", "text").toLocalIterator():
-        held.append(("" if row.item_id is None else str(row.item_id), words_of(row.text)))
-        size += len(row.text or "")
-        if size >= block_bytes:
-            put()
-            held, size, n = [], 0, n + 1
-    if held:
-        put()
-        n += 1
-    return folder, n
+        for batch in batches:
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held.append((item, words_of(text)))
+                size += len(text or "")
+                if size >= block_bytes:
+                    yield from put()
+                    held, size = [], 0
+        if held:
+            yield from put()
+
+    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text")
+    blocks = stage(rows.mapInArrow(lean(run), "name string, shortest long, spots array<long>"), "phrase-blocks")
+    names = blocks.select("name", "shortest").orderBy("name").collect()  # one short row a block
+    if not names:
+        return folder, [], 0, None
+    return folder, [r.name for r in names], min(r.shortest for r in names), bitmap_file(blocks.select(F.explode("spots").alias("spot")), WORD_BITS, "phrase-words")
 
 
 NEW = [("n_words", pa.int64(), "long"), ("n_hit", pa.int64(), "long"), ("n_items", pa.int64(), "long"), ("items_sha256", pa.string(), "string"), ("contaminated", pa.bool_(), "boolean"), ("hit_spans", pa.list_(pa.int64()), "array<long>")]
@@ -127,20 +163,37 @@ def scan(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame
     turn); columns so named are replaced."""
     if width < 1:
         raise ValueError("width is at least 1")
-    folder, blocks = phrase_blocks(benchmark, width)
+    folder, names, shortest, bitmap = phrase_blocks(benchmark, width)
     kept = [c for c in docs.columns if c not in {n for n, _, _ in NEW}]
     at = kept.index("text")
-    loaded: dict[int, Phrases] = {}
-
-    def block(k: int) -> Phrases:
-        if k not in loaded:
-            loaded.clear()
-            fs, path = open_store(folder)
-            with fs.open_input_stream(f"{path}/{k}") as file:
-                loaded[k] = pickle.loads(file.read())
-        return loaded[k]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = read_bitmap(bitmap) if bitmap else None
+        loaded: dict[str, Phrases] = {}
+
+        def block(name: str) -> Phrases:
+            if name not in loaded:
+                if len(loaded) == BLOCKS_HELD:
+                    loaded.pop(next(iter(loaded)))
+                fs, path = open_store(folder)
+                with fs.open_input_stream(f"{path}/{name}") as file:
+                    loaded[name] = pickle.loads(file.read())
+            return loaded[name]
+
+        def finish(batch: pa.RecordBatch, texts: list[list[bytes]]) -> pa.RecordBatch:
+            if known is None:
+                hit, items = [np.zeros(len(t), bool) for t in texts], [set() for _ in texts]
+            else:
+                shard = Shard(texts, known, shortest)
+                for name in names:
+                    shard.search(block(name))
+                hit, items = shard.hits(), shard.items
+            n = [int(h.sum()) for h in hit]
+            edges = [np.flatnonzero(np.diff(np.concatenate([[0], h.astype(np.int8), [0]]))).tolist() if c else [] for h, c in zip(hit, n, strict=True)]
+            said = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items]
+            columns = [[len(t) for t in texts], n, [len(x) for x in items], said, [c > 0 for c in n], edges]
+            return pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, t) for c, (_, t, _) in zip(columns, NEW, strict=True))], names=[*kept, *(n for n, _, _ in NEW)])
+
         for batch in batches:
             held, size, first = [], 0, 0
             for row in range(batch.num_rows + 1):
@@ -152,18 +205,6 @@ def scan(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame
                     held.append(words_of(batch.column(at)[row].as_py()))
                     size += len(held[-1])
 
-    def finish(batch: pa.RecordBatch, texts: list[list[bytes]]) -> pa.RecordBatch:
-        hit, items = [np.zeros(len(t), bool) for t in texts], [set() for _ in texts]
-        for k in range(blocks):
-            found, names = block(k).find(texts)
-            hit = [a | b for a, b in zip(hit, found, strict=True)]
-            items = [a | b for a, b in zip(items, names, strict=True)]
-        n = [int(h.sum()) for h in hit]
-        edges = [np.flatnonzero(np.diff(np.concatenate([[0], h.astype(np.int8), [0]]))).tolist() if c else [] for h, c in zip(hit, n, strict=True)]
-        said = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items]
-        columns = [[len(t) for t in texts], n, [len(x) for x in items], said, [c > 0 for c in n], edges]
-        return pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, t) for c, (_, t, _) in zip(columns, NEW, strict=True))], names=[*kept, *(n for n, _, _ in NEW)])
-
     new = StructType.fromDDL(", ".join(f"{name} {kind}" for name, _, kind in NEW))
     return docs.select(*kept).mapInArrow(lean(run), StructType([*docs.select(*kept).schema.fields, *new.fields]))
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lean, maybe_in, new_path, open_store, stage, table, unstage
+from .common import bitmap_file, lean, marked, maybe_in, read_bitmap, spot_of, stage, table, unstage
 from .substrings import BASES, rolling, word_hash
 
 PERCENT = 85
@@ -236,30 +236,17 @@ def alike(bits: np.ndarray, matching: int) -> Iterator[np.ndarray]:
 
 def sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     """Staged sid, body (packed sorted shingles), family of the wanted (sid, family)."""
-    size = 1 << BITMAP_BITS
-    spot = F.pmod(F.xxhash64("sid"), F.lit(size)) + 1  # Spark numbers bits from 1
-    bits = stage(wanted.groupBy(F.bitmap_bucket_number(spot).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(spot)).alias("bits")), "neardup-bits")
-    path = new_path(docs.sparkSession, "neardup-bitmap")
-    fs, name = open_store(path)
-    with fs.open_output_stream(name) as out:
-        at = 1
-        for row in bits.orderBy("k").toLocalIterator():  # size / 8 bytes in all
-            out.write(bytes(4096) * (row.k - at) + bytes(row.bits))
-            at = row.k + 1
-        out.write(bytes(4096) * (size // 32768 + 1 - at))
+    path = bitmap_file(wanted.select(spot_of(F.col("sid"), BITMAP_BITS).alias("spot")), BITMAP_BITS, "neardup-bits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, file_name = open_store(path)
-        with store.open_input_stream(file_name) as file:
-            held = np.frombuffer(file.read(), np.uint8)
+        held = read_bitmap(path)
         for batch in batches:
-            spots = batch.column(2).to_numpy() - 1
-            some = np.flatnonzero(held[spots >> 3] >> (spots & 7).astype(np.uint8) & 1)
+            some = np.flatnonzero(marked(held, batch.column(2).to_numpy()))
             for at in range(0, some.size, 512):
                 rows = batch.take(pa.array(some[at : at + 512]))
                 yield pa.RecordBatch.from_arrays([rows.column(1), pa.array([shingles(t, shingle).tobytes() for t in rows.column(0).to_pylist()], pa.binary())], names=["sid", "body"])
 
-    made = docs.select("text", "sid", spot.alias("spot")).mapInArrow(lean(run), "sid long, body binary")
+    made = docs.select("text", "sid", spot_of(F.col("sid"), BITMAP_BITS).alias("spot")).mapInArrow(lean(run), "sid long, body binary")
     # rows of one document (equal doc_id and text) make one set
     return stage(made.join(wanted, "sid").dropDuplicates(["sid"]), "neardup-sets")
 
