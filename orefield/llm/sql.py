@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, licenses, mixing, substrings, warc
+from . import decontamination, licenses, mixing, neardups, secrets, substrings, warc
 
 SPACE_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -98,10 +98,60 @@ o AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, string
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score FROM d LEFT JOIN a USING (r) LEFT JOIN o USING (r)"""
 
 
+def either_case(pattern: str) -> str:
+    """Letters outside classes in either case; RE2's own flag would take letters beyond A-Z too."""
+    out, inside, at = [], False, 0
+    while at < len(pattern):
+        c = pattern[at]
+        if c == "\\":
+            out.append(pattern[at : at + 2 if pattern[at + 1] != "x" else at + 4])
+            at += len(out[-1])
+            continue
+        inside = (inside or c == "[") and c != "]"
+        out.append(f"[{c.lower()}{c.upper()}]" if c.isalpha() and not inside else c)
+        at += 1
+    return "".join(out)
+
+
+def secrets_sql(rules: tuple[tuple[str, str, bool, int], ...]) -> str:
+    """Matches from left to right, and what lies between them gives their places."""
+    parts = []
+    for n, (kind, pattern, any_case, least) in enumerate(rules):
+        rule = "'" + (either_case(pattern) if any_case else pattern).replace("'", "''") + "'"
+        value = f"AND length(regexp_extract(x, {rule}, 2)) >= {secrets.VALUE}" if kind == "assign" else ""
+        parts.append(f"SELECT r, {n} AS kind, '{kind}' AS name, s, s + length(x) AS e FROM (SELECT r, ms[k] AS x, list_sum([length(y) FOR y IN ps[1:k]]) + coalesce(list_sum([length(y) FOR y IN ms[1:k - 1]]), 0) AS s FROM "
+            f"(SELECT r, ms, regexp_split_to_array(t, {rule}) AS ps, unnest(range(1, len(ms) + 1)) AS k FROM (SELECT r, t, regexp_extract_all(t, {rule}) AS ms FROM d))) WHERE length(x) >= {least} {value}")
+    base = ", ".join(f"'{b}'" for b in secrets.BASE)
+    span = "name || ':' || s::BIGINT || ':' || e::BIGINT"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+f AS ({" UNION ALL ".join(parts)}),
+g AS (SELECT r, {", ".join(f"count(*) FILTER (WHERE name = '{b}') AS n_{b}" for b in secrets.BASE)}, string_agg({span}, ',' ORDER BY s, kind) FILTER (WHERE name IN ({base})) AS base, string_agg({span}, ',' ORDER BY s, kind) AS spans FROM f GROUP BY r)
+SELECT doc_id, {", ".join(f"coalesce(n_{b}, 0)::BIGINT AS n_{b}" for b in secrets.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (r)"""
+
+
+def neardups_sql(shingle: int, percent: int) -> str:
+    """All pairs of distinct sets that share a shingle; then what can be reached. Rows of equal doc_id and text are one document."""
+    return f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+q AS (SELECT r, doc_id, CASE WHEN len(ws) = 0 THEN [] ELSE list_sort(list_distinct([array_to_string(ws[k:k + {shingle - 1}], ' ') FOR k IN range(1, greatest(len(ws) - {shingle - 2}, 2))])) END AS sh FROM d),
+u AS (SELECT sh, len(sh) AS n, row_number() OVER () AS id FROM (SELECT DISTINCT sh FROM q WHERE len(sh) > 0)),
+v AS (SELECT id, n, unnest(sh) AS s FROM u),
+p AS (SELECT a.id AS a, b.id AS b, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS c FROM v a JOIN v b ON a.s = b.s AND a.id < b.id AND 100 * b.n >= {percent} * a.n AND 100 * a.n >= {percent} * b.n GROUP BY 1, 2),
+l AS (SELECT a, b FROM p WHERE 100 * c >= {percent} * (n + m - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+walk(id, other) AS (SELECT id, id FROM u UNION SELECT w.id, e.b FROM walk w JOIN e ON e.a = w.other),
+i AS (SELECT u.id, min(doc_id) AS least FROM q JOIN u USING (sh) GROUP BY 1),
+k AS (SELECT walk.id, min(least) AS component FROM walk JOIN i ON i.id = walk.other GROUP BY 1)
+SELECT doc_id, len(q.sh)::BIGINT AS n_shingles, CASE WHEN len(q.sh) = 0 THEN doc_id ELSE component END AS component_id, doc_id IS NOT DISTINCT FROM CASE WHEN len(q.sh) = 0 THEN doc_id ELSE component END AS kept FROM q LEFT JOIN u USING (sh) LEFT JOIN k USING (id)"""
+
+
 ORACLE_SQL = {
     "op1_mixing": mixing_sql((1, 2, 3), 3.0, mixing.CURRICULUM),
     "op2_substrings": substrings_sql(substrings.WIDTH),
     "op3_decontamination": decontamination_sql(decontamination.WIDTH),
+    "op4_secrets": secrets_sql(secrets.RULES),
     "op5_warc": warc_sql(warc.LEAST),
+    "op9_neardups": neardups_sql(3, neardups.PERCENT),
     "op10_licenses": licenses_sql(licenses.PHRASES, licenses.NOTICES, licenses.THRESHOLD),
 }
