@@ -1,13 +1,14 @@
 """Substring dedup: remove the words of every passage that stands anywhere else, judged by windows of `width` words.
 
 Pass 1 sketches. A window is estimated by its anchor, the least hash among its runs of `gram` words: equal windows have equal anchors,
-so a window stands at most as often as its anchor. Each shard counts the anchors it picks in DEPTH rows of count-min cells, saturating at
-two; the shards' cells are merged by slices, which leaves one bit a cell: counted twice or more. The sketch grows with the
-corpus up to MOST_BITS; a fuller one lets more windows through and loses none.
-Pass 2 counts exactly. Windows whose anchor may repeat are grouped by 96 bits of hash. A shard first settles what it holds
-twice, and sends one entry of such a window and one of each other candidate to the window's bucket; so no window, however common, has more than
-one entry a shard. Buckets send back the places of repeated windows. Documents without candidates are done in pass 2; only the
-others meet their places again, by row id, and are cut.
+so a window stands at most as often as its anchor. A task gathers the distinct anchors that it picks, with a flag for those that it picks twice, and deals them out by
+slices of the hash. A slice merges what all tasks send into its DEPTH rows of count-min cells, and sends back to each task those of its anchors whose cells count two or more in every row.
+So a slice holds its own part of the sketch, a task the anchors of its own text, and both stay as large as they are when the corpus grows.
+Pass 2 counts exactly. Windows whose anchor may repeat are grouped by 96 bits of hash. A task first settles what it holds
+twice, and sends at most two entries of a window to the window's bucket; so a window, however common, has no more than
+two a task (TASK_WINDOWS bounds the memory for that: what a task meets beyond it is sent a shard, and lost never). Buckets send back the places of repeated windows. Documents without candidates are done in pass 2; only the
+others meet their places again, by row id, and are cut. Both passes must see the documents dealt alike, as files are; a sum over the words of each
+task's part is compared, and a difference is an error.
 
 Defined cases: null text has no words; texts of under `width` words lose nothing; repeated rows lose whatever is in a whole window; windows
 that overlap their own copy in one document count as repeated; an empty table gives no rows; other columns are not read.
@@ -29,8 +30,10 @@ from .common import lean, new_path, open_store, stage, table
 
 WIDTH, GRAM = 35, 18
 SHARD_WORDS = 1 << 19
-#: Cells of a sketch row: a power of two over CELLS_PER_BYTE times the text's bytes (about 8 an anchor), up to 2**MOST_BITS.
-DEPTH, CELLS_PER_BYTE, LEAST_BITS, MOST_BITS, SLICE_BITS = 2, 0.14, 20, 29, 20
+#: Sketch cells a byte of text (about 8 an anchor), in slices of 2**SLICE_BITS cells a row; anchors that a task gathers before it deals them out.
+DEPTH, CELLS_PER_BYTE, SLICE_BITS, GATHERED = 2, 0.14, 23, 1 << 21
+#: Windows that a task remembers.
+TASK_WINDOWS = 1 << 21
 BUCKET_BYTES = 2 << 20
 PLACES_PER_TASK = 1 << 19
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
@@ -120,54 +123,127 @@ def shards_of(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[
                 held, size, first = [], 0, row + 1
 
 
-def sketched(docs: DataFrame, bits: int, width: int, gram: int) -> str:
-    """Writes the merged sketch, a bit for each cell counted twice or more, row after row; returns its path."""
-    slices = 1 << max(0, bits - SLICE_BITS)
-    size = 1 << min(bits, SLICE_BITS)
+ODD = np.uint64(1)
+
+
+def gathered(parts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Distinct anchors (even numbers) of (anchors, whether picked twice) lists, each plus 1 where it is picked twice."""
+    anchors, inverse, n = np.unique(np.concatenate([a for a, _ in parts]), return_inverse=True, return_counts=True)
+    return anchors | ((n > 1) | (np.bincount(inverse, np.concatenate([t for _, t in parts]), anchors.size) > 0)).astype(np.uint64)
+
+
+def estimated(codes: np.ndarray, bits: int) -> np.ndarray:
+    """Which of these anchors, one entry a task, count two or more in all rows of the sketch that they make."""
+    out = np.ones(codes.size, bool)
+    for row in range(DEPTH):
+        _, cell = np.unique(cells(codes & ~ODD, row, bits), return_inverse=True)
+        out &= (np.bincount(cell, 1.0 + (codes & ODD)) >= 2)[cell]
+    return out
+
+
+def sketched(docs: DataFrame, bits: int, slices: int, width: int, gram: int) -> str:
+    """Writes, by the partition p of docs, the anchors that may repeat, and the sum of the partition's words; returns the folder."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, held in shards_of(batches, 0):
-            picked = Shard(held, width, gram).picked()
-            parts, packed = [], []
-            for row in range(DEPTH if picked.size else 0):
-                found, n = np.unique(cells(picked, row, bits), return_counts=True)
-                coded = ((found & (size - 1)) << 1 | (n > 1)).astype(np.uint32)
-                edges = np.searchsorted(found, np.arange(slices + 1) * size)
-                for k in np.flatnonzero(np.diff(edges)):
-                    parts.append(row * slices + int(k))
-                    packed.append(coded[edges[k] : edges[k + 1]].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array(packed, pa.binary())], names=["part", "cells"])
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, counts = -1, None
+        p, held, size, total = TaskContext.get().partitionId(), [], 0, np.uint64(0)
+
+        def rows(part: list[int], packed: list[bytes]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([p] * len(part), pa.int64()), pa.array(packed, pa.binary())], names=["part", "p", "codes"])
+
+        def put() -> pa.RecordBatch:
+            codes = gathered(held)
+            part, _, packed = packed_by((codes >> ODD) % np.uint64(slices), codes, np.ndarray.tobytes)
+            return rows(part.astype(np.int64).tolist(), packed)
+
+        for _, texts in shards_of(batches, 0):
+            shard = Shard(texts, width, gram)
+            total += shard.h.sum(dtype=np.uint64)
+            picked, n = np.unique(shard.picked() & ~ODD, return_counts=True)
+            if picked.size:
+                held.append((picked, n > 1))
+                size += picked.size
+            if size >= GATHERED:
+                yield put()
+                held, size = [], 0
+        if held:
+            yield put()
+        yield rows([-1 - p % 1024], [total.tobytes()])  # no slice: passed on
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, owners, packs = None, [], []
 
         def done() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([np.packbits(counts > 1, bitorder="little").tobytes()], pa.binary())], names=["part", "bits"])
+            if now < 0:
+                return pa.RecordBatch.from_arrays([pa.array(owners, pa.int64()), pa.array([True] * len(owners)), pa.array(packs, pa.binary())], names=["p", "is_sum", "body"])
+            codes = [np.frombuffer(x, np.uint64) for x in packs]
+            edges = np.cumsum([0] + [c.size for c in codes])
+            every = np.concatenate(codes)
+            keep = estimated(every, bits)
+            back = [(p, (every[x:y][keep[x:y]] & ~ODD).tobytes()) for p, x, y in zip(owners, edges, edges[1:], strict=False) if keep[x:y].any()]
+            return pa.RecordBatch.from_arrays([pa.array([p for p, _ in back], pa.int64()), pa.array([False] * len(back), pa.bool_()), pa.array([x for _, x in back], pa.binary())], names=["p", "is_sum", "body"])
 
         for batch in batches:
-            for part, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for part, p, codes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if part != now:
-                    if now >= 0:
+                    if now is not None:
                         yield done()
-                    now, counts = part, np.zeros(size, np.uint8)
-                coded = np.frombuffer(packed, np.uint32)
-                at = coded >> 1  # a cell stands once in a shard's list
-                counts[at] = np.minimum(2, counts[at] + 1 + (coded & 1))
-        if now >= 0:
+                    now, owners, packs = part, [], []
+                owners.append(p)
+                packs.append(codes)
+        if now is not None:
             yield done()
 
-    merged = stage(docs.select("text").mapInArrow(lean(count), "part long, cells binary").repartition("part").sortWithinPartitions("part").mapInArrow(lean(merge), "part long, bits binary"), "sketch")
-    path = new_path(docs.sparkSession, "sketch-bits")
-    fs, name = open_store(path)
-    with fs.open_output_stream(name) as out:
-        next_part, blank = 0, bytes(-(-size // 8))
-        for row in merged.orderBy("part").toLocalIterator():  # one slice of fixed size at a time
-            out.write(blank * (row.part - next_part) + bytes(row.bits))
-            next_part = row.part + 1
-        out.write(blank * (DEPTH * slices - next_part))
+    path = new_path(docs.sparkSession, "anchors")
+    dealt = docs.select("text").mapInArrow(lean(count), "part long, p long, codes binary").repartition("part").sortWithinPartitions("part")
+    dealt.mapInArrow(lean(answer), "p long, is_sum boolean, body binary").repartition("p").write.partitionBy("p").parquet(path)
     return path
 
 
+def answers(path: str, p: int) -> tuple[np.ndarray, np.uint64]:
+    """The sorted anchors that may repeat of partition p, and the sum of its words."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs as files
+
+    store, root = open_store(path)
+    found, total = [], np.uint64(0)
+    for info in store.get_file_info(files.FileSelector(f"{root}/p={p}", allow_not_found=True)):
+        if info.is_file and info.base_name.endswith(".parquet") and info.base_name[0] not in "._":
+            with store.open_input_file(info.path) as file:
+                got = pq.read_table(file, columns=["is_sum", "body"])
+            for is_sum, body in zip(got["is_sum"].to_pylist(), got["body"].to_pylist(), strict=True):
+                if is_sum:
+                    total += np.frombuffer(body, np.uint64)[0]
+                else:
+                    found.append(np.frombuffer(body, np.uint64))
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64), total
+
+
+def among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of x stand in a sorted array."""
+    if not known.size:
+        return np.zeros(x.size, bool)
+    return known[np.minimum(np.searchsorted(known, x), known.size - 1)] == x
+
+
+class Windows:
+    """The windows that a task has met, up to `most`, and which of them it has reported as repeated."""
+
+    def __init__(self, most: int) -> None:
+        self.most, self.a, self.b, self.told = most, np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, bool)
+
+    def met(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The place of each window here, or -1."""
+        if not self.a.size:
+            return np.full(a.size, -1)
+        at = np.minimum(np.searchsorted(self.a, a), self.a.size - 1)
+        return np.where((self.a[at] == a) & (self.b[at] == b), at, -1)
+
+    def add(self, a: np.ndarray, b: np.ndarray, told: np.ndarray) -> None:
+        if self.a.size < self.most:
+            order = np.argsort(np.concatenate([self.a, a]), kind="stable")
+            self.a, self.b, self.told = (np.concatenate(x)[order] for x in ((self.a, a), (self.b, b), (self.told, told)))
+
+
 NONE = -1
 #: A window in a bucket: 96 bits of its hash, and its place (row id and word).
 ENTRY = np.dtype([("a", "<u8"), ("b", "<u4"), ("rid", "<i8"), ("at", "<u4")])
@@ -199,25 +275,20 @@ def packed_by(key: np.ndarray, rows: np.ndarray, pack=in_columns) -> tuple[np.nd
     return key[edges[:-1]], np.diff(edges), [pack(rows[x:y]) for x, y in zip(edges, edges[1:], strict=False)]
 
 
-def looked_up(docs: DataFrame, sketch: str, bits: int, buckets: int, width: int, gram: int) -> DataFrame:
+def looked_up(docs: DataFrame, sketch: str, buckets: int, width: int, gram: int) -> DataFrame:
     """Staged rows of two kinds: documents (bucket null; sha256 where done, else text and the places known repeated), and
     bucket entries (n windows: hashes and place, row id and word packed; NONE for windows known repeated)."""
     kind = docs.schema["doc_id"].dataType
     names = ["rid", "doc_id", "n_words", "kept_sha256", "text", "known", "bucket", "n", "entries"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, name = open_store(sketch)
-        with fs.open_input_stream(name) as file:
-            seen = np.frombuffer(file.read(), np.uint8)
-        rid, row_bytes = TaskContext.get().partitionId() << 32, (1 << bits) // 8
+        p, total, windows = TaskContext.get().partitionId(), np.uint64(0), Windows(TASK_WINDOWS)
+        (seen, expected), rid = answers(sketch, p), p << 32
         for batch, held in shards_of(batches, 1):
             shard = Shard(held, width, gram)
-            maybe = shard.whole.copy()
-            for row in range(DEPTH):
-                at = np.flatnonzero(maybe)
-                c = cells(shard.anchors[at], row, bits)
-                maybe[at] = seen[row * row_bytes + (c >> 3)] >> (c & 7).astype(np.uint8) & 1
-            at = np.flatnonzero(maybe)
+            total += shard.h.sum(dtype=np.uint64)
+            at = np.flatnonzero(shard.whole)
+            at = at[among(shard.anchors[at] & ~ODD, seen)]
             hashes = shard.windows(at)
             e = np.empty(at.size, ENTRY)
             e["a"], e["b"], e["at"] = hashes[:, 0], hashes[:, 1] >> np.uint64(32), at
@@ -225,16 +296,23 @@ def looked_up(docs: DataFrame, sketch: str, bits: int, buckets: int, width: int,
             first = np.ones(at.size, bool)
             first[1:] = (e["a"][1:] != e["a"][:-1]) | (e["b"][1:] != e["b"][:-1])
             alone = first & np.append(first[1:], True)[: at.size]
+            place = windows.met(e["a"][first], e["b"][first])
+            before = (place >= 0)[np.cumsum(first) - 1]  # met in an earlier shard of this task
+            untold = np.zeros(at.size, bool)
+            untold[np.flatnonzero(first)[place >= 0]] = ~windows.told[place[place >= 0]]
+            windows.told[place[place >= 0]] = True
             doc = np.searchsorted(shard.starts, e["at"], "right") - 1
             known = [b""] * len(held)
-            twice = np.sort(e["at"][~alone])
+            twice = np.sort(e["at"][~alone | before])
             owner = np.searchsorted(shard.starts, twice, "right") - 1
             for d in np.unique(owner):
                 known[d] = (twice[owner == d] - shard.starts[d]).astype(np.uint32).tobytes()
             open_docs = np.zeros(len(held), bool)
             open_docs[doc] = True
-            e["rid"], e["at"] = np.where(alone, rid + doc, NONE), e["at"] - shard.starts[doc]
-            e = e[first]
+            e["rid"], e["at"] = np.where(alone & ~before, rid + doc, NONE), e["at"] - shard.starts[doc]
+            new = first & ~before
+            windows.add(e["a"][new], e["b"][new], ~alone[new])
+            e = e[new | untold]
             e = e[np.lexsort((e["at"], e["rid"]))]
             bucket, sizes, packed = packed_by((e["a"] % np.uint64(buckets)).astype(np.int64), e)
             none, m = [None] * len(held), len(packed)
@@ -247,6 +325,8 @@ def looked_up(docs: DataFrame, sketch: str, bits: int, buckets: int, width: int,
             ]
             yield pa.RecordBatch.from_arrays(columns, names=names)
             rid += len(held)
+        if total != expected:
+            raise RuntimeError("the documents came dealt in another way than in the first pass: write them out first")
 
     return stage(docs.select("doc_id", "text").mapInArrow(lean(run), f"rid long, doc_id {kind.simpleString()}, n_words long, kept_sha256 string, text string, known binary, bucket long, n long, entries binary"), "windows")
 
@@ -290,10 +370,9 @@ def removed(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, bits: int | N
         raise ValueError("gram is at least 1 and at most width")
     docs = docs.select("doc_id", "text")
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    if bits is None:
-        bits = min(MOST_BITS, max(LEAST_BITS, int(size * CELLS_PER_BYTE).bit_length()))
+    slices = 1 if bits else 1 << max(4, int(size * CELLS_PER_BYTE / (1 << SLICE_BITS)).bit_length())
     buckets = 1 << max(6, (size // BUCKET_BYTES).bit_length())
-    rows = looked_up(docs, sketched(docs, bits, width, gram), bits, buckets, width, gram)
+    rows = looked_up(docs, sketched(docs, bits or SLICE_BITS, slices, width, gram), buckets, width, gram)
     places = repeated(rows.where("bucket is not null").select("bucket", "n", "entries"))
     todo = rows.where("bucket is null and text is not null").select("rid", "doc_id", "n_words", "text", "known").join(places, "rid", "left")
 

@@ -449,6 +449,26 @@ def test_repeated_passages(spark, data, bits):
         assert sorted((r.doc_id is None, r.doc_id or 0, r.n_words, r.n_removed, r.kept_sha256) for r in got) == plain_removed(rows)
 
 
+@pytest.mark.parametrize("remembered", [0, 50, 1 << 21])
+def test_windows_that_a_task_meets_again(spark, monkeypatch, remembered):
+    """Many shards a task, windows common to all shards, to all tasks, to one task, and twice in one shard."""
+    monkeypatch.setattr(substrings, "SHARD_WORDS", 200)
+    monkeypatch.setattr(substrings, "GATHERED", 300)
+    monkeypatch.setattr(substrings, "TASK_WINDOWS", remembered)
+    line = [f"common{k}" for k in range(60)]
+    rows = [(k, " ".join([*(f"a{k}x{j}" for j in range(40)), *line, *(f"task{k // 30}x{j}" for j in range(50)), *(f"b{k}x{j}" for j in range(40 if k % 3 else 80)), *([f"b{k}x{j}" for j in range(40)] if k % 5 == 0 else [])])) for k in range(90)]
+    docs = documents(spark, rows).repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id").cache()
+    got = substrings.removed(docs).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.n_words, r.n_removed, r.kept_sha256) for r in got) == plain_removed(rows)
+
+
+def test_documents_dealt_anew_are_an_error(spark, monkeypatch):
+    docs = documents(spark, [(k, " ".join(f"w{k}x{j}" for j in range(50))) for k in range(40)])
+    made = substrings.sketched(docs.repartitionByRange(4, "doc_id"), 20, 1, 35, 18)
+    with pytest.raises(Exception, match="dealt in another way"):
+        substrings.looked_up(docs.repartitionByRange(4, F.col("doc_id").desc()).select("doc_id", "text"), made, 64, 35, 18)
+
+
 def test_sliding_and_anchors():
     x = np.random.default_rng(9).integers(0, 50, 200).astype(np.uint64)
     for size in (1, 2, 3, 17, 18, 64):
