@@ -22,18 +22,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import bitmap_file, lean, marked, new_path, open_store, read_bitmap, stage, table
+from .common import bitmap_file, lean, new_path, open_store, read_bitmap, stage, table
 from .fmindex import FMIndex
-from .substrings import word_hash
 
 WIDTH = 10
 SHARD_WORDS = 1 << 19
 BLOCK_BYTES, BLOCKS_HELD = 2 << 20, 4
-WORD_BITS = 26
+WORD_BITS, NUMBERS_HELD = 26, 1 << 19
 #: Bytes of a word stay, A-Z become lower case, all others become spaces.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -62,25 +62,43 @@ class Phrases:
             self.by_length[size] = np.array(own, np.int32), np.concatenate([[0], ends]), np.array([at[x] for p in own for x in sorted(seen[p])], np.int32)
 
 
-def word_spots(words: list[bytes]) -> np.ndarray:
-    """Places of words in the bitmap of the benchmark's words, from 1."""
-    return (np.fromiter(map(word_hash, words), np.uint64, len(words)) % np.uint64(1 << WORD_BITS)).astype(np.int64) + 1
+def word_spot(word: bytes) -> int:
+    """A word's place in the bitmap of the benchmark's words, from 0."""
+    return xxhash.xxh3_64_intdigest(word) % (1 << WORD_BITS)
+
+
+class Numbers(dict):
+    """Words that may be the benchmark's, numbered from 1 as they come; 0 for all others."""
+
+    def __init__(self, known: np.ndarray) -> None:
+        self.known, self.top = known, 0
+
+    def __missing__(self, word: bytes) -> int:
+        spot = word_spot(word)
+        self.top += (number := int(self.known[spot >> 3]) >> (spot & 7) & 1)
+        self[word] = number = self.top if number else 0
+        return number
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
 class Shard:
     """The one index of a run of documents, in which the phrases of every block are searched."""
 
-    def __init__(self, docs: list[list[bytes]], known: np.ndarray, shortest: int) -> None:
+    def __init__(self, docs: list[list[bytes]], numbers: Numbers, shortest: int) -> None:
+        if len(numbers) > NUMBERS_HELD:
+            numbers.clear()
+            numbers.top = 0
+        self.numbers = numbers
         self.sizes = np.array([len(d) for d in docs], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.sizes + 1)])  # a 0 after each document
-        distinct = list(set().union(*docs))
-        some = np.flatnonzero(marked(known, word_spots(distinct))) if distinct else ()
-        self.ids = {distinct[k]: n + 1 for n, k in enumerate(some)}
         self.marks = np.zeros(int(self.starts[-1]) + 1, np.int64)
         self.items: list[set[str]] = [set() for _ in docs]
         s = np.zeros(int(self.starts[-1]), np.int64)
         for d, at in zip(docs, self.starts[:-1], strict=True):
-            s[at : at + len(d)] = np.fromiter((self.ids.get(w, 0) for w in d), np.int64, len(d))
+            s[at : at + len(d)] = numbers.of(d)
+        self.top = numbers.top
         inside = np.concatenate([[0], (s > 0).astype(np.int8), [0]])
         begin, end = np.flatnonzero(np.diff(inside) == 1), np.flatnonzero(np.diff(inside) == -1)
         long = end - begin >= shortest
@@ -90,13 +108,14 @@ class Shard:
             # the runs, each with the 0 that ends it: another word, or a document's end
             sizes = end - begin + 1
             self.origin = np.repeat(begin - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
-            self.index = FMIndex(s[self.origin], len(self.ids))
+            self.index = FMIndex(s[self.origin], self.top)
 
     def search(self, block: Phrases) -> None:
         """Marks the places of the block's phrases and notes their items."""
         if self.index is None:
             return
-        number = np.fromiter((self.ids.get(w, 0) for w in block.words), np.int64, len(block.words))
+        number = self.numbers.of(block.words)
+        number[number > self.top] = 0  # not in this shard
         for size, (patterns, edges, owners) in block.by_length.items():
             wanted = number[patterns]
             which = np.flatnonzero((wanted > 0).all(axis=1))
@@ -135,7 +154,7 @@ def phrase_blocks(benchmark: DataFrame, width: int = WIDTH, block_bytes: int = B
                 name = uuid.uuid4().hex
                 with store.open_output_stream(f"{root}/{name}") as out:
                     out.write(pickle.dumps(block))
-                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([min(block.by_length)], pa.int64()), pa.array([np.unique(word_spots(block.words)).tolist()], pa.list_(pa.int64()))], names=["name", "shortest", "spots"])
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([min(block.by_length)], pa.int64()), pa.array([sorted({word_spot(w) + 1 for w in block.words})], pa.list_(pa.int64()))], names=["name", "shortest", "spots"])
 
         for batch in batches:
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -168,7 +187,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame
     at = kept.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = read_bitmap(bitmap) if bitmap else None
+        numbers = Numbers(read_bitmap(bitmap)) if bitmap else None
         loaded: dict[str, Phrases] = {}
 
         def block(name: str) -> Phrases:
@@ -181,10 +200,10 @@ def scan(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame
             return loaded[name]
 
         def finish(batch: pa.RecordBatch, texts: list[list[bytes]]) -> pa.RecordBatch:
-            if known is None:
+            if numbers is None:
                 hit, items = [np.zeros(len(t), bool) for t in texts], [set() for _ in texts]
             else:
-                shard = Shard(texts, known, shortest)
+                shard = Shard(texts, numbers, shortest)
                 for name in names:
                     shard.search(block(name))
                 hit, items = shard.hits(), shard.items
