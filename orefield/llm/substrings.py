@@ -5,8 +5,8 @@ so a window stands at most as often as its anchor. A task gathers the distinct a
 slices of the hash. A slice merges what all tasks send into its DEPTH rows of count-min cells, and sends back to each task those of its anchors whose cells count two or more in every row.
 So a slice holds its own part of the sketch, a task the anchors of its own text, and both stay as large as they are when the corpus grows.
 Pass 2 counts exactly. Windows whose anchor may repeat are grouped by 96 bits of hash. A task first settles what it holds
-twice, and sends at most two entries of a window to the window's bucket; so a window, however common, has no more than
-two a task (TASK_WINDOWS bounds the memory for that: what a task meets beyond it is sent a shard, and lost never). Buckets send back the places of repeated windows. Documents without candidates are done in pass 2; only the
+twice, and sends one entry of a window to the window's bucket; after OFTEN shards of a task that have sent it, which is enough to know, the others only note its places. So a window, however common, has no more than
+OFTEN entries a task (TASK_WINDOWS bounds the memory for that: windows beyond it are sent by every shard, and lost never). Buckets send back the places of repeated windows. Documents without candidates are done in pass 2; only the
 others meet their places again, by row id, and are cut. Both passes must see the documents dealt alike, as files are; a sum over the words of each
 task's part is compared, and a difference is an error.
 
@@ -30,10 +30,10 @@ from .common import lean, new_path, open_store, stage, table
 
 WIDTH, GRAM = 35, 18
 SHARD_WORDS = 1 << 19
-#: Sketch cells a byte of text (about 8 an anchor), in slices of 2**SLICE_BITS cells a row; anchors that a task gathers before it deals them out.
-DEPTH, CELLS_PER_BYTE, SLICE_BITS, GATHERED = 2, 0.14, 23, 1 << 21
-#: Windows that a task remembers.
-TASK_WINDOWS = 1 << 21
+#: Sketch cells a byte of text and row (about 32 an anchor; only those that are counted take memory), text bytes a slice, and anchors that a task gathers before it deals them out.
+DEPTH, CELLS_PER_BYTE, SLICE_BYTES, GATHERED = 2, 0.56, 32 << 20, 1 << 21
+#: Windows that a task remembers, and how often it sends one.
+TASK_WINDOWS, OFTEN = 1 << 21, 4
 BUCKET_BYTES = 2 << 20
 PLACES_PER_TASK = 1 << 19
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
@@ -108,8 +108,9 @@ class Shard:
         return np.column_stack([rolling(self.h, self.width, b)[at] for b in BASES]) if at.size else np.zeros((0, 2), np.uint64)
 
 
-def cells(anchors: np.ndarray, row: int, bits: int) -> np.ndarray:
-    return ((anchors ^ (anchors >> np.uint64(29))) * MIX[row] >> np.uint64(64 - bits)).astype(np.int64)
+def cells(anchors: np.ndarray, row: int, width: int) -> np.ndarray:
+    """The anchors' cells in a row of `width` cells."""
+    return ((anchors ^ (anchors >> np.uint64(29))) * MIX[row] >> np.uint64(32)) * np.uint64(width) >> np.uint64(32)
 
 
 def shards_of(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
@@ -132,16 +133,16 @@ def gathered(parts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     return anchors | ((n > 1) | (np.bincount(inverse, np.concatenate([t for _, t in parts]), anchors.size) > 0)).astype(np.uint64)
 
 
-def estimated(codes: np.ndarray, bits: int) -> np.ndarray:
+def estimated(codes: np.ndarray, cells_a_row: int) -> np.ndarray:
     """Which of these anchors, one entry a task, count two or more in all rows of the sketch that they make."""
     out = np.ones(codes.size, bool)
     for row in range(DEPTH):
-        _, cell = np.unique(cells(codes & ~ODD, row, bits), return_inverse=True)
+        _, cell = np.unique(cells(codes & ~ODD, row, cells_a_row), return_inverse=True)
         out &= (np.bincount(cell, 1.0 + (codes & ODD)) >= 2)[cell]
     return out
 
 
-def sketched(docs: DataFrame, bits: int, slices: int, width: int, gram: int) -> str:
+def sketched(docs: DataFrame, cells_a_row: int, slices: int, width: int, gram: int) -> str:
     """Writes, by the partition p of docs, the anchors that may repeat, and the sum of the partition's words; returns the folder."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +179,7 @@ def sketched(docs: DataFrame, bits: int, slices: int, width: int, gram: int) ->
             codes = [np.frombuffer(x, np.uint64) for x in packs]
             edges = np.cumsum([0] + [c.size for c in codes])
             every = np.concatenate(codes)
-            keep = estimated(every, bits)
+            keep = estimated(every, cells_a_row)
             back = [(p, (every[x:y][keep[x:y]] & ~ODD).tobytes()) for p, x, y in zip(owners, edges, edges[1:], strict=False) if keep[x:y].any()]
             return pa.RecordBatch.from_arrays([pa.array([p for p, _ in back], pa.int64()), pa.array([False] * len(back), pa.bool_()), pa.array([x for _, x in back], pa.binary())], names=["p", "is_sum", "body"])
 
@@ -226,10 +227,10 @@ def among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
 
 
 class Windows:
-    """The windows that a task has met, up to `most`, and which of them it has reported as repeated."""
+    """The windows that a task has met, up to `most`, and how often it has sent each."""
 
     def __init__(self, most: int) -> None:
-        self.most, self.a, self.b, self.told = most, np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, bool)
+        self.most, self.a, self.b, self.sent = most, np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint8)
 
     def met(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The place of each window here, or -1."""
@@ -238,10 +239,10 @@ class Windows:
         at = np.minimum(np.searchsorted(self.a, a), self.a.size - 1)
         return np.where((self.a[at] == a) & (self.b[at] == b), at, -1)
 
-    def add(self, a: np.ndarray, b: np.ndarray, told: np.ndarray) -> None:
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
         if self.a.size < self.most:
             order = np.argsort(np.concatenate([self.a, a]), kind="stable")
-            self.a, self.b, self.told = (np.concatenate(x)[order] for x in ((self.a, a), (self.b, b), (self.told, told)))
+            self.a, self.b, self.sent = (np.concatenate(x)[order] for x in ((self.a, a), (self.b, b), (self.sent, np.ones(a.size, np.uint8))))
 
 
 NONE = -1
@@ -297,10 +298,10 @@ def looked_up(docs: DataFrame, sketch: str, buckets: int, width: int, gram: int)
             first[1:] = (e["a"][1:] != e["a"][:-1]) | (e["b"][1:] != e["b"][:-1])
             alone = first & np.append(first[1:], True)[: at.size]
             place = windows.met(e["a"][first], e["b"][first])
-            before = (place >= 0)[np.cumsum(first) - 1]  # met in an earlier shard of this task
-            untold = np.zeros(at.size, bool)
-            untold[np.flatnonzero(first)[place >= 0]] = ~windows.told[place[place >= 0]]
-            windows.told[place[place >= 0]] = True
+            often = np.zeros(place.size, bool)
+            often[place >= 0] = windows.sent[place[place >= 0]] >= OFTEN
+            windows.sent[place[(place >= 0) & ~often]] += 1
+            before = often[np.cumsum(first) - 1]
             doc = np.searchsorted(shard.starts, e["at"], "right") - 1
             known = [b""] * len(held)
             twice = np.sort(e["at"][~alone | before])
@@ -310,9 +311,10 @@ def looked_up(docs: DataFrame, sketch: str, buckets: int, width: int, gram: int)
             open_docs = np.zeros(len(held), bool)
             open_docs[doc] = True
             e["rid"], e["at"] = np.where(alone & ~before, rid + doc, NONE), e["at"] - shard.starts[doc]
-            new = first & ~before
-            windows.add(e["a"][new], e["b"][new], ~alone[new])
-            e = e[new | untold]
+            new = first.copy()
+            new[first] = place < 0
+            windows.add(e["a"][new], e["b"][new])
+            e = e[first & ~before]
             e = e[np.lexsort((e["at"], e["rid"]))]
             bucket, sizes, packed = packed_by((e["a"] % np.uint64(buckets)).astype(np.int64), e)
             none, m = [None] * len(held), len(packed)
@@ -364,15 +366,16 @@ def repeated(rows: DataFrame) -> DataFrame:
     return met.repartition(tasks, "part").select("places").mapInArrow(lean(regroup), "rid long, places binary")
 
 
-def removed(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, bits: int | None = None) -> DataFrame:
+def removed(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, sketch_cells: int | None = None) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256 and kept_text (null where all is kept)."""
     if not 0 < gram <= width:
         raise ValueError("gram is at least 1 and at most width")
     docs = docs.select("doc_id", "text")
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    slices = 1 if bits else 1 << max(4, int(size * CELLS_PER_BYTE / (1 << SLICE_BITS)).bit_length())
+    slices = 1 if sketch_cells else max(1, -(-size // SLICE_BYTES))
+    cells_a_row = sketch_cells or max(1 << 16, int(size * CELLS_PER_BYTE / slices))
     buckets = 1 << max(6, (size // BUCKET_BYTES).bit_length())
-    rows = looked_up(docs, sketched(docs, bits or SLICE_BITS, slices, width, gram), buckets, width, gram)
+    rows = looked_up(docs, sketched(docs, cells_a_row, slices, width, gram), buckets, width, gram)
     places = repeated(rows.where("bucket is not null").select("bucket", "n", "entries"))
     todo = rows.where("bucket is null and text is not null").select("rid", "doc_id", "n_words", "text", "known").join(places, "rid", "left")
 

@@ -441,11 +441,11 @@ def plain_removed(rows, width=35):
     return sorted(out)
 
 
-@pytest.mark.parametrize("bits", [None, 6])
-def test_repeated_passages(spark, data, bits):
+@pytest.mark.parametrize("cells", [None, 64])
+def test_repeated_passages(spark, data, cells):
     """Also with a sketch so small that it lets all through."""
     for docs, rows in ((documents(spark), texts()), (table(spark, data, "documents"), given(spark, data))):
-        got = substrings.removed(docs, bits=bits).collect()
+        got = substrings.removed(docs, sketch_cells=cells).collect()
         assert sorted((r.doc_id is None, r.doc_id or 0, r.n_words, r.n_removed, r.kept_sha256) for r in got) == plain_removed(rows)
 
 
@@ -464,7 +464,7 @@ def test_windows_that_a_task_meets_again(spark, monkeypatch, remembered):
 
 def test_documents_dealt_anew_are_an_error(spark, monkeypatch):
     docs = documents(spark, [(k, " ".join(f"w{k}x{j}" for j in range(50))) for k in range(40)])
-    made = substrings.sketched(docs.repartitionByRange(4, "doc_id"), 20, 1, 35, 18)
+    made = substrings.sketched(docs.repartitionByRange(4, "doc_id"), 1 << 20, 1, 35, 18)
     with pytest.raises(Exception, match="dealt in another way"):
         substrings.looked_up(docs.repartitionByRange(4, F.col("doc_id").desc()).select("doc_id", "text"), made, 64, 35, 18)
 
