@@ -1,12 +1,12 @@
 """Benchmark decontamination: every training shard gets an FM-index, in which the benchmark's phrases are searched backwards.
 
 A phrase is a window of `width` consecutive words of a benchmark item, or all of a shorter item. A shard is a run of documents
-with SHARD_WORDS words or one document. It is indexed once. Its index covers what can hold a phrase: words that the benchmark does not have (by
-a bitmap of fixed size, which may let others stay) become one separator, and between separators only runs at least as long as the shortest phrase stay. That loses no place. All
+with SHARD_WORDS words or one document. It is indexed once for all blocks of a group of the benchmark, which is all of it up to VOCABULARY words. The index covers what can hold a phrase: words that the group does not have
+become one separator, and between separators only runs at least as long as the shortest phrase stay. That loses no place. All
 phrases of a block are searched together, a symbol a step, by wavelet-matrix ranks; places come from sampled suffix positions; spans
 of one document are merged by a running sum of starts and ends.
 
-The benchmark is cut into blocks of bounded size on the executors. Tasks read them from the shared folder, hold BLOCKS_HELD of them at most, and search each in the
+The benchmark is cut into blocks of bounded size on the executors. Tasks read them from the shared folder, hold BLOCKS_HELD of them and one group's words at most, and search each in the
 same index; the driver sees their names. Documents are read where they lie, without an exchange, in one pass.
 
 Defined cases: null text has no words; items without words match nothing; items of one id are one item, a null id being the empty one;
@@ -19,21 +19,21 @@ import hashlib
 import pickle
 import uuid
 from collections.abc import Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import bitmap_file, lean, new_path, open_store, read_bitmap, stage, table
+from .common import lean, new_path, open_store, stage, table
 from .fmindex import FMIndex
 
 WIDTH = 10
 SHARD_WORDS = 1 << 19
 BLOCK_BYTES, BLOCKS_HELD = 2 << 20, 4
-WORD_BITS, NUMBERS_HELD = 26, 1 << 19
+VOCABULARY = 1 << 20
 #: Bytes of a word stay, A-Z become lower case, all others become spaces.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -62,43 +62,18 @@ class Phrases:
             self.by_length[size] = np.array(own, np.int32), np.concatenate([[0], ends]), np.array([at[x] for p in own for x in sorted(seen[p])], np.int32)
 
 
-def word_spot(word: bytes) -> int:
-    """A word's place in the bitmap of the benchmark's words, from 0."""
-    return xxhash.xxh3_64_intdigest(word) % (1 << WORD_BITS)
-
-
-class Numbers(dict):
-    """Words that may be the benchmark's, numbered from 1 as they come; 0 for all others."""
-
-    def __init__(self, known: np.ndarray) -> None:
-        self.known, self.top = known, 0
-
-    def __missing__(self, word: bytes) -> int:
-        spot = word_spot(word)
-        self.top += (number := int(self.known[spot >> 3]) >> (spot & 7) & 1)
-        self[word] = number = self.top if number else 0
-        return number
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-
-
 class Shard:
-    """The one index of a run of documents, in which the phrases of every block are searched."""
+    """The index of a run of documents, in which the phrases of all blocks of a group are searched. ids: the group's words, numbered from 1."""
 
-    def __init__(self, docs: list[list[bytes]], numbers: Numbers, shortest: int) -> None:
-        if len(numbers) > NUMBERS_HELD:
-            numbers.clear()
-            numbers.top = 0
-        self.numbers = numbers
+    def __init__(self, docs: list[list[bytes]], ids: dict[bytes, int], shortest: int) -> None:
+        self.ids = ids
         self.sizes = np.array([len(d) for d in docs], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.sizes + 1)])  # a 0 after each document
         self.marks = np.zeros(int(self.starts[-1]) + 1, np.int64)
         self.items: list[set[str]] = [set() for _ in docs]
         s = np.zeros(int(self.starts[-1]), np.int64)
         for d, at in zip(docs, self.starts[:-1], strict=True):
-            s[at : at + len(d)] = numbers.of(d)
-        self.top = numbers.top
+            s[at : at + len(d)] = np.fromiter((ids.get(w, 0) for w in d), np.int64, len(d))
         inside = np.concatenate([[0], (s > 0).astype(np.int8), [0]])
         begin, end = np.flatnonzero(np.diff(inside) == 1), np.flatnonzero(np.diff(inside) == -1)
         long = end - begin >= shortest
@@ -108,22 +83,19 @@ class Shard:
             # the runs, each with the 0 that ends it: another word, or a document's end
             sizes = end - begin + 1
             self.origin = np.repeat(begin - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
-            self.index = FMIndex(s[self.origin], self.top)
+            self.index = FMIndex(s[self.origin], len(ids))
 
     def search(self, block: Phrases) -> None:
         """Marks the places of the block's phrases and notes their items."""
         if self.index is None:
             return
-        number = self.numbers.of(block.words)
-        number[number > self.top] = 0  # not in this shard
+        number = np.fromiter((self.ids[w] for w in block.words), np.int64, len(block.words))
         for size, (patterns, edges, owners) in block.by_length.items():
-            wanted = number[patterns]
-            which = np.flatnonzero((wanted > 0).all(axis=1))
-            lo, hi = self.index.search(wanted[which])
+            lo, hi = self.index.search(number[patterns])
             count = hi - lo
             if not count.any():
                 continue
-            phrase = np.repeat(which, count)
+            phrase = np.repeat(np.arange(count.size), count)
             rows = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)
             at = self.origin[self.index.locate(rows)]
             np.add.at(self.marks, at, 1)
@@ -138,8 +110,9 @@ class Shard:
         return [hit[at : at + n] for at, n in zip(self.starts[:-1], self.sizes, strict=True)]
 
 
-def phrase_blocks(benchmark: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> tuple[str, list[str], int, str | None]:
-    """Writes the benchmark's blocks on the executors; returns their folder and names, the length of the shortest phrase, and the bitmap of their words."""
+def phrase_blocks(benchmark: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> tuple[str, list[list[str]], int]:
+    """Writes the benchmark's blocks, and the words of each, on the executors; returns their folder, their names in groups of up to VOCABULARY words, and the length of
+    the shortest phrase."""
     folder = new_path(benchmark.sparkSession, "phrases")
     fs, path = open_store(folder)
     fs.create_dir(path)
@@ -152,9 +125,10 @@ def phrase_blocks(benchmark: DataFrame, width: int = WIDTH, block_bytes: int = B
             block = Phrases(held, width)
             if block.by_length:
                 name = uuid.uuid4().hex
-                with store.open_output_stream(f"{root}/{name}") as out:
-                    out.write(pickle.dumps(block))
-                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([min(block.by_length)], pa.int64()), pa.array([sorted({word_spot(w) + 1 for w in block.words})], pa.list_(pa.int64()))], names=["name", "shortest", "spots"])
+                for end, body in (("", block), ("-words", block.words)):
+                    with store.open_output_stream(f"{root}/{name}{end}") as out:
+                        out.write(pickle.dumps(body))
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([min(block.by_length)], pa.int64()), pa.array([len(block.words)], pa.int64())], names=["name", "shortest", "words"])
 
         for batch in batches:
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -167,11 +141,15 @@ def phrase_blocks(benchmark: DataFrame, width: int = WIDTH, block_bytes: int = B
             yield from put()
 
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text")
-    blocks = stage(rows.mapInArrow(lean(run), "name string, shortest long, spots array<long>"), "phrase-blocks")
-    names = blocks.select("name", "shortest").orderBy("name").collect()  # one short row a block
-    if not names:
-        return folder, [], 0, None
-    return folder, [r.name for r in names], min(r.shortest for r in names), bitmap_file(blocks.select(F.explode("spots").alias("spot")), WORD_BITS, "phrase-words")
+    blocks = stage(rows.mapInArrow(lean(run), "name string, shortest long, words long"), "phrase-blocks").orderBy("name").collect()  # one short row a block
+    groups, words = [], 0
+    for r in blocks:
+        if not groups or words + r.words > VOCABULARY:
+            groups.append([])
+            words = 0
+        groups[-1].append(r.name)
+        words += r.words
+    return folder, groups, min((r.shortest for r in blocks), default=0)
 
 
 NEW = [("n_words", pa.int64(), "long"), ("n_hit", pa.int64(), "long"), ("n_items", pa.int64(), "long"), ("items_sha256", pa.string(), "string"), ("contaminated", pa.bool_(), "boolean"), ("hit_spans", pa.list_(pa.int64()), "array<long>")]
@@ -182,31 +160,41 @@ def scan(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame
     turn); columns so named are replaced."""
     if width < 1:
         raise ValueError("width is at least 1")
-    folder, names, shortest, bitmap = phrase_blocks(benchmark, width)
+    folder, groups, shortest = phrase_blocks(benchmark, width)
     kept = [c for c in docs.columns if c not in {n for n, _, _ in NEW}]
     at = kept.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = Numbers(read_bitmap(bitmap)) if bitmap else None
         loaded: dict[str, Phrases] = {}
+        vocabulary: dict[int, dict[bytes, int]] = {}
+
+        def read(name: str) -> Any:
+            fs, path = open_store(folder)
+            with fs.open_input_stream(f"{path}/{name}") as file:
+                return pickle.loads(file.read())
 
         def block(name: str) -> Phrases:
             if name not in loaded:
                 if len(loaded) == BLOCKS_HELD:
                     loaded.pop(next(iter(loaded)))
-                fs, path = open_store(folder)
-                with fs.open_input_stream(f"{path}/{name}") as file:
-                    loaded[name] = pickle.loads(file.read())
+                loaded[name] = read(name)
             return loaded[name]
 
+        def ids(group: int) -> dict[bytes, int]:
+            if group not in vocabulary:
+                vocabulary.clear()
+                words = dict.fromkeys(w for name in groups[group] for w in read(f"{name}-words"))
+                vocabulary[group] = dict(zip(words, range(1, len(words) + 1), strict=True))
+            return vocabulary[group]
+
         def finish(batch: pa.RecordBatch, texts: list[list[bytes]]) -> pa.RecordBatch:
-            if numbers is None:
-                hit, items = [np.zeros(len(t), bool) for t in texts], [set() for _ in texts]
-            else:
-                shard = Shard(texts, numbers, shortest)
+            hit, items = [np.zeros(len(t), bool) for t in texts], [set() for _ in texts]
+            for group, names in enumerate(groups):
+                shard = Shard(texts, ids(group), shortest)
                 for name in names:
                     shard.search(block(name))
-                hit, items = shard.hits(), shard.items
+                hit = [a | b for a, b in zip(hit, shard.hits(), strict=True)]
+                items = [a | b for a, b in zip(items, shard.items, strict=True)]
             n = [int(h.sum()) for h in hit]
             edges = [np.flatnonzero(np.diff(np.concatenate([[0], h.astype(np.int8), [0]]))).tolist() if c else [] for h, c in zip(hit, n, strict=True)]
             said = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items]

@@ -241,8 +241,10 @@ def test_benchmark_hits(spark, data):
     check_hits(spark, table(spark, data, "documents"), rows, [(r.item_id, r.text) for r in table(spark, data, "benchmark").collect()])
 
 
-def test_benchmark_in_blocks(spark, data, monkeypatch):
+@pytest.mark.parametrize("vocabulary", [1 << 20, 300])
+def test_benchmark_in_blocks(spark, data, monkeypatch, vocabulary):
     monkeypatch.setattr(decontamination.phrase_blocks, "__defaults__", (10, 2000))
+    monkeypatch.setattr(decontamination, "VOCABULARY", vocabulary)
     check_hits(spark, table(spark, data, "documents"), given(spark, data), [(r.item_id, r.text) for r in table(spark, data, "benchmark").collect()])
 
 
