@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,8 +34,36 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+#: Paths made inside `freed`, innermost last.
+_made: list[list[str]] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _made:
+        _made[-1].append(path)
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def freed(spark: SparkSession) -> Iterator[list[str]]:
+    """Deletes at its end what operators have written inside to the shared folder, but for the paths that are in the list it gives.
+
+    For work whose result is written before the end: tables that are still to be read must not be read from these files.
+    """
+    keep: list[str] = []
+    _made.append([])
+    try:
+        yield keep
+    finally:
+        for path in _made.pop():
+            if path not in keep:
+                delete(spark, path)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -48,9 +78,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 def unstage(*tables: DataFrame) -> None:
     """Deletes staged tables that no later plan reads."""
     for df in tables:
-        jvm = df.sparkSession._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._staged_at)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        delete(df.sparkSession, df._staged_at)
 
 
 def lean(run):
