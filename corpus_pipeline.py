@@ -5,7 +5,13 @@ the last return the columns of documents.
 
 Decisions: a document scored under 0.5 goes; of documents that share four fifths of their five-word shingles one stays; a document
 with any benchmark phrase goes; the mix repeats or leaves out documents as the sources' targets ask, in training order; the rest is sharded by
-size.
+size. Only doc_id, text and source are read; other columns are passed on, whatever their names (size, shard and slot are returned as size_input, shard_input
+and slot_input). `run` deletes a stage's intermediate files, and its input, once its output is written.
+
+Defined cases: null and empty texts are scored as empty text; if they stay, they have no set and so no near copies, no benchmark phrase, and no words to mix, and are kept once where
+their source is read at all; very long texts go through whole; rows of equal doc_id and text are one document in near-dedup and stay once, rows of equal doc_id and other texts stay apart;
+null doc_ids stay; a null source is a source of its own; ties are broken by doc_id and a hash of the text; an empty table gives no rows with the same columns, an empty benchmark takes nothing, and without usable labels
+every document has the same score, 0.5, and stays.
 """
 
 from __future__ import annotations
@@ -14,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orefield.llm import decontamination, mixing, neardups, quality, sharding
-from orefield.llm.common import stage, table
+from orefield.llm.common import delete, freed, stage, table
 
 
 def renamed(docs: DataFrame) -> tuple[DataFrame, list]:
@@ -53,7 +59,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, function in STAGES[:-1]:
-        docs = stage(function(spark, docs, sf_dir), f"pipeline-{name}")
+        with freed(spark) as keep:
+            docs = stage(function(spark, docs, sf_dir), f"pipeline-{name}")
+            keep.append(docs._staged_at)
+        if before:
+            delete(spark, before)
+        before = docs._staged_at
     return STAGES[-1][1](spark, docs, sf_dir)
