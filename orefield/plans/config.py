@@ -78,6 +78,8 @@ class Config:
     def checked(self) -> Config:
         if self["modelGrid.magn.nModelComponents"] == 3 and self["inversion.joint.grav.problemWeight"] != 0:
             raise ValueError("magnetisation vectors cannot be solved jointly with gravity")
+        if self["inversion.crossGradient.derivativeType"] not in (1, 2):
+            raise ValueError("the cross-gradient takes derivatives of type 1 (forward) or 2 (central)")
         if self["forward.data.grav.nDataComponents"] not in (1, 6) or self["forward.data.magn.nDataComponents"] not in (1, 3):
             raise ValueError("gravity data have 1 or 6 components, magnetic data 1 or 3")
         return self

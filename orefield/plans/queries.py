@@ -19,7 +19,7 @@ from ..sources import files, text
 from ..sources.scratch import scratch
 from ..streaming.observations import forward_stream
 from .config import Config
-from .inversion import Problem, Settings, invert, problem_of
+from .inversion import Problem, Settings, invert, places, problem_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -929,9 +929,10 @@ def planted(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, np.ndarr
     return cells.withColumn("truth", F.when(block, 300.0).otherwise(0.0)), S.observations(spark, d), w
 
 
-def planted_problem(spark: SparkSession, d: str, name: str, settings: Settings, scale: float = 1.0, **more) -> Problem:
-    """Measured data come from the uncompressed kernel."""
+def planted_problem(spark: SparkSession, d: str, name: str, settings: Settings, scale: float = 1.0, multiplier: float = 1.0, **more) -> Problem:
+    """Measured data come from the uncompressed kernel. The multiplier of column weights brings both problems' columns to one size."""
     cells, obs, w = planted(spark, d)
+    w = w * multiplier
     kind = ("magnetic", FIELD, INTENSITY) if more.get("field_") else ("gravity",)
     data = kernels.forward(obs, cells.withColumn("truth", F.col("truth") * scale), "truth", *kind).orderBy("obs_id").collect()
     p = problem_of(spark, name, obs, cells, np.array([x.d for x in data]), w, settings, rate=INVERSION_RATE, **more)
@@ -939,20 +940,31 @@ def planted_problem(spark: SparkSession, d: str, name: str, settings: Settings,
     return p
 
 
+def around_planted(settings: Settings) -> np.ndarray:
+    return np.tile(np.array([[0.0, 10.0], [290.0, 310.0]])[:, None, :], (1, math.prod(settings.dims), 1))
+
+
 @query("inversion_gravity")
 def inversion_gravity(spark: SparkSession, d: str) -> DataFrame:
+    """The whole grid, with bounds around the planted values; data costs by round, and at the end how the model differs inside and outside the block."""
     settings = Settings(dims(spark, d), (S.DX, S.DY, S.DZ), major=3, minor=20, wavelet=wav.Wavelet.HAAR)
-    p = planted_problem(spark, d, "grav", settings, alpha=1e-3)
-    log = invert([p], settings)
-    return spark.createDataFrame([(int(x["round"]), x["data_grav"]) for x in log], "round int, data_cost double")
+    p = planted_problem(spark, d, "grav", settings, alpha=1e-9, rho=1e-9, bounds=around_planted(settings))
+    contrast = []
+
+    def after(k: int) -> None:
+        at = places(settings.dims)
+        block = (at[0] >= 3) & (at[0] <= 6) & (at[1] >= 3) & (at[1] <= 6) & (at[2] == 0)
+        contrast.append((float(p.value[block].mean()), float(p.value[~block].mean())))
+
+    log = invert([p], settings, after=after)
+    return spark.createDataFrame([(int(x["round"]), x["data_grav"], *c) for x, c in zip(log, contrast, strict=True)], "round int, data_cost double, inside double, outside double")
 
 
 @query("inversion_joint")
 def inversion_joint(spark: SparkSession, d: str) -> DataFrame:
     settings = Settings(dims(spark, d), (S.DX, S.DY, S.DZ), major=3, minor=20, wavelet=wav.Wavelet.HAAR, cross_weight=1e-3)
-    bounds = np.tile(np.array([[0.0, 50.0], [250.0, 350.0]])[:, None, :], (1, math.prod(settings.dims), 1))
-    g = planted_problem(spark, d, "grav", settings, alpha=1e-3, beta=1e-4, rho=1e-3, bounds=bounds)
-    m = planted_problem(spark, d, "magn", settings, 1 / 3000, field_=FIELD, intensity=INTENSITY, alpha=1e-3)
+    g = planted_problem(spark, d, "grav", settings, multiplier=3000.0, alpha=1e-9, beta=1e-12, rho=1e-9, bounds=around_planted(settings))
+    m = planted_problem(spark, d, "magn", settings, 1 / 3000, field_=FIELD, intensity=INTENSITY, alpha=1e-6)
     log = invert([g, m], settings)
     return spark.createDataFrame([(int(x["round"]), x["data_grav"], x["data_magn"], x["cross_gradient"]) for x in log], "round int, cost_grav double, cost_magn double, cross_gradient double")
 

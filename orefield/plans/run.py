@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import direction_cosines, size
 from ..operators import compress, kernels, weights
 from ..operators.constraints import Cluster, normalised_clusters
+from ..operators.stencil import Scheme
 from ..operators.wavelet import Wavelet
 from ..sources import files, folders, text
 from .config import Config
@@ -127,7 +128,7 @@ def settings_from(spark: SparkSession, c: Config, cells: DataFrame) -> Settings:
         tuple(c["modelGrid.size"]), spacing, c["inversion.nMajorIterations"], c["inversion.nMinorIterations"], c["inversion.minResidual"], c["inversion.modelDamping.normPower"],
         c["inversion.softThresholdL1"], c["inversion.targetMisfit"], Wavelet(c["forward.matrixCompression.type"]), c["inversion.crossGradient.weight"], c["inversion.admm.dataCostThreshold"], c["inversion.admm.weightMultiplier"], c["inversion.admm.maxWeight"],
         (bool(c["inversion.crossGradient.grav.keepModelConstant"]), bool(c["inversion.crossGradient.magn.keepModelConstant"])), clusters, weights_, c["inversion.clustering.optimizationType"] == 2,
-        several(spark, own, len(clusters)).reshape(len(clusters), n) if own else None, c["inversion.crossGradient.derivativeType"] == 2, of,
+        several(spark, own, len(clusters)).reshape(len(clusters), n) if own else None, Scheme.of_code(c["inversion.crossGradient.derivativeType"]) is Scheme.CENTRAL, of,
         several(spark, c["inversion.crossGradient.vectorFieldFile"], 3).reshape(3, n) if of else None)
 
 

@@ -1,16 +1,19 @@
 """Known results and properties of the numerical operators."""
 
+import struct
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from orefield.functions import prism
 from orefield.functions.prism import ARRAYS
-from orefield.operators import constraints, linalg
+from orefield.operators import compress, constraints, linalg, weights
+from orefield.operators.stencil import Scheme
 from orefield.operators.wavelet import Wavelet, matrix, transform
 from orefield.plans.config import Config
 from orefield.plans.inversion import Settings, cross_gradient, differences, projected
-from orefield.sources import text
+from orefield.sources import files, text
 
 BOX = {"x1": np.array([0.0]), "x2": np.array([100.0]), "y1": np.array([0.0]), "y2": np.array([100.0]), "z1": np.array([0.0]), "z2": np.array([50.0])}
 
@@ -160,3 +163,71 @@ def test_text_sources_refuse_what_is_wrong(spark, tmp_path):
     (tmp_path / "bounds").write_text("1 1\n5 3 1\n")
     with pytest.raises(ValueError):
         text.bounds(spark, str(tmp_path / "bounds"))
+
+
+def test_pictures_are_bytes_as_the_format_has_them(spark):
+    """Two cells beside each other, written out by hand."""
+    cells = spark.createDataFrame([(1, 1, 0, 0, 2.0, 4.0, 0.0, 2.0, 1.0, 3.0, 7.0, -1.0, 5.0), (0, 0, 0, 0, 0.0, 2.0, 0.0, 2.0, 1.0, 3.0, 6.0, 1.0, 4.0)], "cell_id long, i long, j long, k long, x1 double, x2 double, y1 double, y2 double, z1 double, z2 double, a double, b double, c double")
+    be = lambda *x: struct.pack(f">{len(x)}f", *x)
+    head = lambda kind: b"# vtk DataFile Version 3.0\nt\nBINARY\nDATASET " + kind + b"\n"
+    grid = files.structured_grid(cells, ["a"], "rho", title="t")
+    assert grid == head(b"STRUCTURED_GRID") + b"DIMENSIONS        2        1        1\n\n\nPOINTS        2 FLOAT\n" + be(1, 1, -2, 3, 1, -2) + b"\n\nPOINT_DATA        2\nSCALARS rho FLOAT\nLOOKUP_TABLE default\n" + be(6, 7)
+    vectors = files.structured_grid(cells, ["a", "b", "c"], "m", title="t")
+    assert vectors.endswith(b"VECTORS m FLOAT\n" + be(6, 1, -4, 7, -1, -5))
+    corners = [v for x in (0, 2) for z in (-1, -3) for y in (0, 2) for xx in (x, x + 2) for v in (xx, y, z)]
+    ints = lambda *x: struct.pack(f">{len(x)}i", *x)
+    assert files.voxels(cells, ["a"], "rho", title="t") == head(b"UNSTRUCTURED_GRID") + b"POINTS 16 FLOAT\n" + be(*corners) + b"\n\nCELLS 2 18\n" + ints(8, *range(8), 8, *range(8, 16)) + b"\n\nCELL_TYPES 2\n" + ints(11, 11) + b"\n\nCELL_DATA        2\nSCALARS rho FLOAT\nLOOKUP_TABLE default\n" + be(6, 7)
+    obs = spark.createDataFrame([(0, 1.0, 2.0, 3.0, 9.0)], "obs_id long, x double, y double, z double, v double")
+    assert files.points(obs, ["v"], "d", title="t") == head(b"UNSTRUCTURED_GRID") + b"\nPOINTS        1 FLOAT\n" + be(1, 2, -3) + b"\n\nCELLS 1 2\n" + ints(1, 0) + b"\n\nCELL_TYPES 1\n" + ints(1) + b"\n\nPOINT_DATA        1\nSCALARS d FLOAT\nLOOKUP_TABLE default\n" + be(9)
+
+
+def test_codes_of_derivatives():
+    assert [Scheme.of_code(k) for k in (0, 1, 2, 3, 6, 7)] == [Scheme.BACKWARD, Scheme.FORWARD, Scheme.CENTRAL, Scheme.FORWARD3, Scheme.FORWARD3, Scheme.FORWARD4]
+    with pytest.raises(ValueError):
+        Config.parse(["inversion.crossGradient.derivativeType = 3"])
+
+
+def test_penalty_weights():
+    assert constraints.admm_weight(1.0, 1e-5, 1e-4, 2.0, 10.0) == 2.0  # the data are fitted
+    assert constraints.admm_weight(1.0, 1e-3, 1e-4, 2.0, 10.0) == 1.0  # they are not
+    assert constraints.admm_weight(16.0, 1e-5, 1e-4, 2.0, 10.0) == 16.0  # over the most
+    assert constraints.admm_weight(3.0, 1e-5, 1e-4, 1.0, 10.0) == 3.0
+
+
+def test_a_target_ends_the_rounds_as_if_the_residual_were_made_anew():
+    rng = np.random.default_rng(6)
+    a, b = rng.normal(size=(60, 20)), rng.normal(size=60)
+    whole = [linalg.lsqr(linalg.dense_operator(a), b, most=k).x for k in range(1, 15)]
+    rms = [float(np.sqrt(np.mean((a @ x - b) ** 2))) for x in whole]
+    for target in (rms[2] * 1.0001, rms[5] * 1.0001):
+        got = linalg.lsqr(linalg.dense_operator(a), b, most=50, target_rms=target)
+        assert got.reason == "target" and got.iterations == next(k + 1 for k, x in enumerate(rms) if x <= target)
+    counted = []
+    op = linalg.Operator(60, 20, lambda x: counted.append(1) or a @ x, lambda u: a.T @ u)
+    linalg.lsqr(op, b, most=8, target_rms=1e-9)
+    assert len(counted) == 8
+
+
+def test_even_parts_and_ranks(spark):
+    rows = spark.range(0, 1003).select(((F.col("id") * 7919) % 1003).alias("x")).repartition(7)
+    got = compress.even_parts(rows, "x", 10).orderBy("x").toPandas()
+    want = np.repeat(np.arange(10), [101] * 3 + [100] * 7)
+    assert got.part.tolist() == want.tolist()
+    assert compress.numbered(rows, "x").where("rank <> x").count() == 0
+    assert compress.even_parts(rows.where("x < 3"), "x", 10).toPandas().part.nunique() == 3
+
+
+def test_weights_in_blocks_of_observations(spark):
+    cells = boxes(spark, 4, 4, 3)
+    obs = spark.range(23).select(F.col("id").alias("obs_id"), (F.col("id") * 0.37).alias("x"), (F.col("id") % 5 * 0.9).alias("y"), F.lit(-0.5).alias("z"))
+    for f in (lambda most: weights.distance(cells, obs, 2.0, 1.0, most), lambda most: weights.nearest(cells, obs, 2.0, most)):
+        a, b = (f(most).orderBy("cell_id").toPandas() for most in (1000, 6))
+        assert np.allclose(a, b)
+
+
+def test_columns_of_parts(spark):
+    got = compress.parts_of(spark.range(-2, 40).withColumnRenamed("id", "cell_id"), [3, 3, 10, 25]).collect()
+    assert [r.part for r in got] == [-1, -1, *(sum(b <= c for b in (3, 3, 10, 25)) for c in range(40))]
+    lines = spark.createDataFrame([(0, [0, 2, 3, 30], [1.0, 2.0, 3.0, 4.0]), (1, [9], [5.0])], "obs_id long, cols array<int>, kept array<float>")
+    cut = {(r.part, r.obs_id): (r.cols, r.kept) for r in compress.repartitioned_kernel(lines, [3, 10]).collect()}
+    assert cut == {(0, 0): ([0, 2], [1.0, 2.0]), (1, 0): ([0], [3.0]), (2, 0): ([20], [4.0]), (1, 1): ([6], [5.0])}
