@@ -433,7 +433,8 @@ def kernel_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def kernel_lines(spark: SparkSession, d: str) -> DataFrame:
-    return kernel_pairs(spark, d).groupBy("obs_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("cell_id", "v"))), lambda p: p["v"]).alias("vals"))
+    """Whole lines from the bulk form: no pair is a row, and no line is gathered by an exchange."""
+    return kernels.kernel_rows(S.observations(spark, d), S.cells(spark, d)).select("obs_id", F.transform("vals", lambda v: v * 1e12).alias("vals"))
 
 
 @query("kernel_top_k", sql("cell obs sg", KERNEL, "SELECT obs_id, count(*) AS nnz, sum(cell_id)::BIGINT AS cells FROM kp WHERE stays GROUP BY 1"))
