@@ -9,8 +9,8 @@ with a chance of about 2 * (1 - p**PART)**side, which `side` holds to LOST at th
 component hangs on many links. Sets so small that they can only link with equal sets need no key.
 
 Table entries carry four bits of each minhash. Pairs of one table key that agree in fewer of these than is likely at the threshold,
-by five deviations, are no candidates. What candidates connect is a family; each table gives one edge a member (to the least
-member it connects to), so a family is never expanded into its pairs. A key that holds many sets of one chunk sends on one of them, and its
+by five deviations, are no candidates. What candidates connect is a family; each task, over all its tables, gives at most one edge a member (to the
+least member it connects to), so a family is never expanded into its pairs. A key that holds many sets of one chunk sends on one of them, and its
 sets are one family without further question: families may be larger than needed, never smaller. Then each set of a family goes to the
 family's task once (families over BLOCK shingles are cut into blocks, and each pair of blocks is one task's). There
 sets of different components so far are compared by their whole minhashes, by the same rule, and links confirmed on the full sets, which a second pass
@@ -153,6 +153,22 @@ def star(sids: np.ndarray) -> np.ndarray:
     return np.column_stack([np.full(sids.size - 1, sids[0]), sids[1:]])
 
 
+def forest(edges: np.ndarray) -> np.ndarray:
+    """Edges (least, other) that connect what these edges connect: one for each id but the least of its component."""
+    known, at = np.unique(edges, return_inverse=True)
+    a, b = at.reshape(-1, 2).T
+    label, was = np.arange(known.size), None
+    while was is None or (label != was).any():  # the roots of both ends hook on to the lesser, then every id points to its root
+        was = label.copy()
+        low = np.minimum(label[a], label[b])
+        for end in (a, b):
+            np.minimum.at(label, was[end], low)
+        while (label != label[label]).any():
+            label = label[label]
+    other = np.flatnonzero(label != np.arange(known.size))
+    return np.column_stack([known[label[other]], known[other]])
+
+
 def gathered(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The entries of a chunk to send on, and edges among those that stay: a key of more than HOT sets sends its first."""
     e, starts, sizes = groups_of(e)
@@ -179,7 +195,8 @@ def family_edges(e: np.ndarray, matching: int) -> np.ndarray:
 
 
 def candidates(reps: DataFrame, layout: Layout) -> DataFrame:
-    """Staged, distinct edges (a, b): two sets of one family connected by them can be linked, others cannot."""
+    """Staged, distinct edges (a, b): two sets of one family connected by them can be linked, others cannot. A task sends at most one
+    edge a set, from the least of what it connects, so the tables of a large family do not add up."""
     n = reps.count()
     tasks = max(1, -(-n * layout.side**2 // ENTRIES_PER_TASK))
     buckets = 1 << (4 * tasks).bit_length()
@@ -213,7 +230,7 @@ def candidates(reps: DataFrame, layout: Layout) -> DataFrame:
             e = np.concatenate(held)
             held.clear()
             found.append(family_edges(e, layout.matching))
-        every = np.unique(np.concatenate(found), axis=0)
+        every = forest(np.concatenate(found))
         yield pa.RecordBatch.from_arrays([pa.array(every[:, k], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     entries = reps.select("sid", "sig").mapInArrow(lean(deal), "bucket long, entries binary")
