@@ -126,6 +126,24 @@ def distributed_operator(lines: DataFrame, rows: int, columns: int, line: str =
     return Operator(rows, columns, apply, transposed)
 
 
+def triangular(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """A tall matrix of few columns and its right side (the last column), turned by orthogonal maps into one row a column: least squares have the same
+    solution and LSQR the same rounds. Each task turns its rows to a triangle, batch after batch; only triangles come to the driver, so no vector has the data's length."""
+    import pandas as pd
+
+    names = rows.columns
+
+    def run(batches):
+        held = np.zeros((0, len(names)))
+        for b in batches:
+            held = np.linalg.qr(np.concatenate([held, b.to_numpy(np.float64)]), mode="r")
+        yield pd.DataFrame(held, columns=names)
+
+    got = rows.mapInPandas(run, ", ".join(f"`{n}` double" for n in names)).collect()
+    whole = np.linalg.qr(np.array([tuple(x) for x in got]).reshape(-1, len(names)), mode="r")
+    return whole[:, :-1], whole[:, -1]
+
+
 def lines_operator(lines: DataFrame, rows: int, columns: int, line: str = "obs_id", most: int = 1 << 22) -> Operator:
     """Kernel lines as an operator: on the driver if their entries are at most `most` (then two jobs a round would cost more than the
     products), else on the executors."""
