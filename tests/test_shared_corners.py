@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from orefield import schema as S
 from orefield.functions import prism
-from orefield.operators import kernels, linalg
+from orefield.operators import compress, kernels, linalg
 from orefield.sources import text
 
 
@@ -62,3 +62,20 @@ def test_a_tall_matrix_as_a_triangle(spark):
     want = np.linalg.lstsq(a[:, :2], a[:, 2], rcond=None)[0]
     assert np.allclose(linalg.lsqr(linalg.dense_operator(t), b, 20, 1e-15).x, want)
     assert np.allclose(t.T @ t, a[:, :2].T @ a[:, :2])
+
+
+def test_lines_are_cut_where_they_are_made(spark):
+    """The same as lines cut apart; observations at one place share a line."""
+    obs, cells = places(spark), grid(spark, 300)
+    spots, of = compress.places_of(obs)
+    assert {r.obs_id: r.place for r in of.collect()} == {0: 0, 1: 1, 2: 0, 3: 3, 4: 4}
+    want = {r.obs_id: r for r in compress.compressed(kernels.kernel_rows(obs, cells).select("obs_id", "vals"), 300, 0.15).collect()}
+    got = compress.cut_gravity(spots, cells, 0.15).collect()
+    assert {(r.obs_id, r.times) for r in got} == {(0, 2), (1, 1), (3, 1), (4, 1)}
+    for r in got:
+        assert r.cols == want[r.obs_id].cols and r.kept == want[r.obs_id].kept and r.nnz == len(r.cols) and abs(r.error - want[r.obs_id].error) < 1e-12
+    parts = compress.cut_gravity(spots, cells, 0.15, 1.0, [100, 200]).collect()
+    for o in (0, 1, 3, 4):
+        assert [c + 100 * r.part for r in sorted(parts, key=lambda r: r.part) if r.obs_id == o for c in r.cols] == want[o].cols
+    counts = {r.cell_id: r.nnz for r in compress.column_counts(compress.cut_gravity(spots, cells, 0.15)).collect()}
+    assert sum(counts.values()) == sum(r.nnz for r in want.values())
