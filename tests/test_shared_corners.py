@@ -79,3 +79,9 @@ def test_lines_are_cut_where_they_are_made(spark):
         assert [c + 100 * r.part for r in sorted(parts, key=lambda r: r.part) if r.obs_id == o for c in r.cols] == want[o].cols
     counts = {r.cell_id: r.nnz for r in compress.column_counts(compress.cut_gravity(spots, cells, 0.15)).collect()}
     assert sum(counts.values()) == sum(r.nnz for r in want.values())
+
+
+def test_gradient_rows_are_joined_once(spark, data):
+    from orefield.plans.queries import gradient_block
+
+    assert "Join" not in gradient_block(spark, data)._jdf.queryExecution().optimizedPlan().toString()
