@@ -59,3 +59,23 @@ def test_merged_products_are_those_of_one_task(spark):
     op = linalg.distributed_operator(lines, 9, 70000)
     u, x = rng.normal(size=9), rng.normal(size=70000)
     assert np.allclose(op.transposed(u), a.T.astype(float) @ u) and np.allclose(op.apply(x), a.astype(float) @ x)
+
+
+def test_a_round_is_one_pass(spark):
+    """Products of a stack, one of whose operators is on the executors, by `round` and by themselves; LSQR asks for no other."""
+    cells = S.with_boxes(spark.range(300).select(F.col("id").alias("cell_id")))
+    obs = spark.createDataFrame([(o, 70.7 * (o % 5), 0.3, -1.1 - o % 2) for o in range(20)], "obs_id long, x double, y double, z double")
+    spots, place = inversion.numbered_places(obs)
+    lines = compress.packed_lines(spots, cells, np.ones(300), (10, 10, 3), Wavelet.HAAR, 0.5, "gravity")
+    dense = linalg.lines_operator(lines, 10, 300)
+    far = linalg.lines_operator(lines, 10, 300, most=0)
+    assert far.both and not dense.both
+    rng = np.random.default_rng(7)
+    w, x, c, d = rng.random(20) * 1e6, rng.normal(size=600), rng.random(320), rng.normal(size=320)
+    there, here = (linalg.stack_operators([inversion.placed(inversion.scaled_rows(inversion.shared_rows(a, place), w), 300, 600), inversion.placed(inversion.diagonal(np.full(300, 0.1)), 0, 600)]) for a in (far, dense))
+    for got, want in zip(there.round(x, c, d), here.round(x, c, d), strict=True):
+        assert np.allclose(got, want, rtol=1e-9, atol=1e-9 * np.abs(want).max())
+    b = rng.normal(size=320)
+    assert np.allclose(linalg.lsqr(there, b, 5).x, linalg.lsqr(here, b, 5).x, rtol=1e-6, atol=1e-9)
+    pieces = linalg.packed(spark.createDataFrame([(0, [0, 2], [1.0, 2.0]), (0, [5], [3.0])], "obs_id long, cols array<int>, kept array<float>"))
+    assert linalg.lines_operator(pieces, 1, 6, most=0).both is None
