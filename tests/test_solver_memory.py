@@ -63,3 +63,13 @@ def test_grids_travel_in_few_bytes(spark, kind):
     assert len(sent) < 10 * len(held)  # were 32 for the corners' numbers alone
     for point in ((530.7, 20.3, -7.1), (530.7, 20.3, 77.4)):
         assert np.array_equal(pickle.loads(sent).line(point)[0][0], grid.line(point)[0][0])
+
+
+def test_a_magnetic_grid_holds_its_corners_only(spark):
+    """No second copy of the boxes beside the lattice, which has them; a point inside a cell has its void."""
+    held = S.with_boxes(spark.range(300).select(F.col("id").alias("cell_id"))).orderBy("cell_id").toPandas()
+    box, point = {c: held[c].to_numpy(np.float64) for c in kernels.BOX}, (530.7, 20.3, 77.4)
+    grid = kernels.Grid(box, "magnetic", (0.3, 0.5, 0.81))
+    assert not any(isinstance(v, dict | np.ndarray) for v in vars(grid).values())
+    want = kernels.line_of("magnetic", (0.3, 0.5, 0.81), 50000.0)(*point, box)[0][0]
+    assert np.allclose(grid.line(point)[0][0], want, rtol=1e-9, atol=1e-9 * np.abs(want).max())
